@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, token_counts, token_files
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(table(spark, sf_dir, name))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": _over("documents", lambda docs: token_files.query(docs, tokenizer("byte_bpe_50k.json"))),
     "op7_quality_rules": _over("documents", quality_rules.query),
+    "op9_token_counts": _over("documents", lambda docs: token_counts.query(docs, tokenizer("byte_bpe_50k.json"))),
     "op10_mixing": _over("documents", mixing.query),
 }
 
