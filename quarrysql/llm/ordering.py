@@ -33,19 +33,21 @@ class Ranges:
 
         return where(key)
 
-    def also_before(self, key: Column) -> Column:
-        """The partitions that need a row: its own, and the one before if it may open its own; the
-        last needs the very first row."""
+    def with_next(self, key: Column) -> Column:
+        """Where a row is needed, as codes: twice its partition; and, if it may open its partition,
+        twice the partition before and 1, for which it is the row to come. The last partition's row
+        to come is the very first row."""
         bounds, nulls = self.bounds, self.nulls
 
         @F.pandas_udf("array<int>")
         def where(ids: pd.Series) -> pd.Series:
             own = _place(bounds, ids)
-            opens = ids.isna() if nulls else pd.Series(False, ids.index)
+            opens = ids.isna().to_numpy() & nulls
             if len(bounds):
-                held = ids.notna() & (bounds[own] == ids.fillna(-1))
-                opens = opens | (held if not nulls else held & (own > 0))
-            return pd.Series([[p, (p - 1) % max(1, len(bounds))] if o else [p] for p, o in zip(own, opens)], ids.index)
+                held = ids.notna().to_numpy() & (bounds[own] == ids.fillna(-1).to_numpy())
+                opens |= held & ((own.to_numpy() > 0) | (not nulls))
+            n = max(1, len(bounds))
+            return pd.Series([[2 * p, 2 * ((p - 1) % n) + 1] if o else [2 * p] for p, o in zip(own, opens)], ids.index)
 
         return where(key)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, token_counts, token_files, warc
+from . import mixing, quality_rules, spot_signatures, token_counts, token_files, warc
 from .common import table
 
 
@@ -23,6 +23,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": _over("documents", lambda docs: token_files.query(docs, tokenizer("byte_bpe_50k.json"))),
+    "op2_spot_signatures": _over("documents", spot_signatures.query),
     "op4_warc": _over("pages", warc.query),
     "op7_quality_rules": _over("documents", quality_rules.query),
     "op9_token_counts": _over("documents", lambda docs: token_counts.query(docs, tokenizer("byte_bpe_50k.json"))),
