@@ -4,6 +4,9 @@ A text is cut at its single spaces into pieces, each with the space before it. T
 of byte-level BPE never joins what stands on both sides of such a cut, so a piece has the same ids
 alone as in its text and is encoded once a worker. The exceptions go through the library as a whole
 text: special strings, and white space on both sides of a space (runs of it belong together).
+
+The pieces of a batch are cut and numbered by Arrow; Python looks up each distinct one, and numpy
+puts the ids of the texts together.
 """
 
 from __future__ import annotations
@@ -11,41 +14,55 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable
-from itertools import chain
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space, then a space, then white space or the end.
 _RUN = re.compile(r"\s (?:\s|$)")
+#: The letters by which byte-level BPE writes bytes: printable ones stand for themselves, the others,
+#: in order, for the letters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 _LOADED: dict[str, "Encoder"] = {}
 
 
 class Cache(dict):
     """Two generations: when the young one is full it becomes the old one, so memory is bounded and
-    pieces in use stay."""
+    what is in use stays."""
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.old = most, {}
 
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
-
-    def known(self, key) -> bool:
-        return key in self or key in self.old
-
     def age(self) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with up to ``most`` bytes of a text column each, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Encoder:
-    """``value(ids)`` of pieces is what the cache holds, such as their number or their bytes."""
+    """The ids of texts, or with ``count`` their number.
+
+    Before the library is asked for a piece, it is parted where the splitting pattern does so in any
+    case: at a line break between two other characters, and between a letter and a full stop or
+    comma at the end.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, count: bool = False, dtype: str = "<u4", most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,51 +72,133 @@ class Encoder:
         before = form["pre_tokenizer"] or {}
         # Only of this form is it known that single spaces part pieces.
         self.parts = not form["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not form["truncation"] and not form["padding"]
-        self.first, self.rest = Cache(most // 10), Cache(most)
-
-    def cut(self, text: str) -> list[str] | None:
-        """The first piece, then the others without their space; None: only whole."""
-        if not self.parts or _RUN.search(text) or any(s in text for s in self.special):
-            return None
-        return text.split(" ")
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def all(self, texts: Iterable[str | None], value: Callable[[list[int]], object], join: Callable[[Iterable], object], table: dict | None = None) -> list:
-        """``join`` of the values of each text's pieces. ``table``: values known beforehand, by piece
-        with its space."""
-        cuts = [self.cut(t or "") for t in texts]
-        table = table or {}
-        for cache, lead, seen in ((self.first, "", {c[0] for c in cuts if c}), (self.rest, " ", set(chain.from_iterable(c[1:] for c in cuts if c)))):
-            new = [p for p in seen if not cache.known(p)]
-            hits = [(p, table.get(lead + p)) for p in new] if table else [(p, None) for p in new]
-            misses = [p for p, v in hits if v is None]
-            cache.update((p, v) for p, v in hits if v is not None)
-            for at in range(0, len(misses), 20_000):
-                some = misses[at : at + 20_000]
-                cache.update(zip(some, map(value, self.ids([lead + p for p in some]))))
-        out = []
-        rest, first = self.rest.__getitem__, self.first.__getitem__
-        for t, c in zip(texts, cuts):
-            if c is None:
-                out.append(join([value(self.ids([t])[0])]))
+        self.count, self.dtype, self.most = count, np.dtype(dtype), most
+        self.young: dict[bool, dict] = {False: {}, True: {}}  # by whether a space stands before
+        self.old: dict[bool, dict] = {False: {}, True: {}}
+
+    def in_pieces(self, text: str) -> bool:
+        return self.parts and not _RUN.search(text) and not any(s in text for s in self.special)
+
+    def ask(self, texts: list[str]) -> list:
+        """The library's answers: numbers of ids, or ids as bytes."""
+        return self._values([e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]) if texts else []
+
+    def _values(self, found: list[list[int]]) -> list:
+        sizes = list(map(len, found))
+        if self.count:
+            return sizes
+        raw = np.fromiter(chain.from_iterable(found), self.dtype, sum(sizes)).tobytes()
+        ends = [self.dtype.itemsize * n for n in accumulate(sizes, initial=0)]
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _ask_words(self, words: list[str], space: bool) -> list:
+        """The library's model about pieces of letters only: each is one pre-token, so the model can be
+        asked without the steps before it."""
+        tokens, lead = self.lib.model.tokenize, _BYTE_LETTERS[32] if space else ""
+        found = [tokens(lead + (w if w.isascii() else w.encode().decode("latin1").translate(_BYTE_LETTERS))) for w in words]
+        return list(map(len, found)) if self.count else self._values([[t.id for t in x] for x in found])
+
+    def lookup(self, pieces: list[str], space: bool, table: dict | None = None) -> list:
+        """The value of each piece."""
+        young = self.young[space]
+        values = list(map(young.get, pieces))
+        if None not in values:
+            return values
+        self._learn([p for p, v in zip(pieces, values) if v is None], space, table)
+        return list(map(young.__getitem__, pieces))
+
+    def _learn(self, pieces: list[str], space: bool, table: dict | None) -> None:
+        young, old, lead = self.young[space], self.old[space], " " if space else ""
+        if old:
+            young.update((p, old[p]) for p in pieces if p in old)
+            pieces = [p for p in pieces if p not in old]
+        if table:
+            young.update((p, table[lead + p]) for p in pieces if lead + p in table)
+            pieces = [p for p in pieces if lead + p not in table]
+        words = [p for p in pieces if p.isalpha()]
+        young.update(zip(words, self._ask_words(words, space)))
+        compound, plain = [], []
+        for p in pieces:
+            if p.isalpha():
+                continue
+            if p[-1:] in (".", ",") and p[-2:-1].isalpha() and "\n" not in p:
+                compound.append((p, p[:-1], p[-1], ""))
+            elif (end := p.find("\n")) > 0 and end < len(p) - 1 and not (p[end - 1].isspace() or p[end + 1].isspace()):
+                compound.append((p, p[:end], "\n", p[end + 1 :]))
             else:
-                head = first(c[0])
-                c[0] = None
-                out.append(join(chain((head,), map(rest, c[1:]))))
-        self.first.age()
-        self.rest.age()
-        return out
-
-
-def encoder(path: str, use: str) -> Encoder:
+                plain.append(p)
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            young.update(zip(some, self.ask([lead + p for p in some])))
+        if compound:
+            heads = self.lookup([c[1] for c in compound], space, table)
+            marks = self.lookup([c[2] for c in compound], False, table)
+            rests = self.lookup([c[3] for c in compound], False, table)
+            young.update((c[0], x + y + z) for c, x, y, z in zip(compound, heads, marks, rests))
+
+    def _age(self) -> None:
+        for space, young in self.young.items():
+            if len(young) > self.most:
+                self.old[space], self.young[space] = young, {}
+
+    def _numbered(self, texts: pa.Array, table: dict | None) -> tuple[np.ndarray, np.ndarray, list]:
+        """Of each piece its place in the list of values; where each text's pieces begin; the values."""
+        texts = pc.fill_null(texts, "")
+        plain = texts.to_pylist()
+        whole = {i: t for i, t in enumerate(plain) if not self.in_pieces(t)}
+        if whole:
+            texts = pa.array(["" if i in whole else t for i, t in enumerate(plain)], pa.string())
+        parts = pc.split_pattern(texts, " ")
+        start = parts.offsets.to_numpy()[:-1]
+        coded = parts.flatten().dictionary_encode()
+        number, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        used = np.ones(len(number), bool)
+        used[start] = False
+        seen = np.zeros(len(distinct), bool)
+        seen[number[used]] = True
+        inner = np.flatnonzero(seen)
+        heads = self.lookup([distinct[i] for i in number[start].tolist()], False, table)
+        for i, v in zip(whole, self.ask(list(whole.values()))):
+            heads[i] = v
+        place = np.zeros(len(distinct), np.int64)
+        place[inner] = np.arange(len(inner))
+        number = place[number]
+        number[start] = len(inner) + np.arange(len(start))
+        return number, start, self.lookup([distinct[i] for i in inner.tolist()], True, table) + heads
+
+    def counts(self, texts: pa.Array, table: dict | None = None) -> np.ndarray:
+        """The number of ids of each text."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        number, start, values = self._numbered(texts, table)
+        self._age()
+        return np.add.reduceat(np.array(values, np.int64)[number], start)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end``, and how many each has."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        number, start, values = self._numbered(texts, None)
+        self._age()
+        if end is not None:
+            number = np.insert(number, np.append(start[1:], len(number)), len(values))
+            start = start + np.arange(len(start))
+            values.append(np.array([end], self.dtype).tobytes())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        at = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(values), self.dtype)
+        each = sizes[number]
+        begin = np.cumsum(each) - each
+        return pool[np.repeat(at[number] - begin, each) + np.arange(int(each.sum()))], np.add.reduceat(each, start)
+
+
+def encoder(path: str, count: bool = False, dtype: str = "<u4") -> Encoder:
     """One encoder a worker, file and use (caches of different values stay apart)."""
-    key = f"{use} {path}"
+    key = f"{count} {dtype} {path}"
     if key not in _LOADED:
-        _LOADED[key] = Encoder(path)
+        _LOADED[key] = Encoder(path, count, dtype)
     return _LOADED[key]
 
 
-def as_bytes(dtype: str) -> Callable[[list[int]], bytes]:
-    return lambda ids: np.array(ids, dtype).tobytes()
+def vocabulary_size(path: str) -> int:
+    return encoder(path).lib.get_vocab_size()

@@ -17,19 +17,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import encoder
+from .bpe import encoder, slices
 
 LIMIT = 1024
 TABLE = 1 << 15
 SHARE = 2e-5
-BATCH = 512
-_TABLES: dict[int, dict[str, int]] = {}
+_TABLES: dict[str, dict[str, int]] = {}
 _MODELS: dict[str, object] = {}
 
 
@@ -40,14 +39,16 @@ def heavy(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, total, pruned = encoder(tokenizer, "count"), Counter(), 0, 0
+        seen, total, pruned = Counter(), 0, 0
         width = round(4 / SHARE)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                cuts = [own.cut(t) for t in batch.slice(at, BATCH).column(0).to_pylist() if t]
-                before = total
-                total += sum(len(c) - 1 for c in cuts if c)
-                seen.update(chain.from_iterable(c[1:] for c in cuts if c))
+            for some in slices(batch, text):
+                parts = pc.split_pattern(pc.fill_null(some.column(0), ""), " ")
+                inner = np.ones(parts.offsets[-1].as_py(), bool)
+                inner[parts.offsets.to_numpy()[:-1]] = False
+                found = parts.flatten().filter(pa.array(inner)).value_counts()
+                before, total = total, total + int(inner.sum())
+                seen.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
                 if total // width > before // width:
                     pruned = total // width
                     seen = Counter({k: n for k, n in seen.items() if n > pruned})
@@ -63,7 +64,7 @@ def heavy(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 def pack(pieces: list[str], tokenizer: str) -> tuple[bytes, bytes]:
     """The table: its pieces joined by NUL, and the number of tokens of each."""
     pieces = [p for p in pieces if "\0" not in p]
-    counts = list(map(len, encoder(tokenizer, "count").ids(pieces)))
+    counts = encoder(tokenizer, count=True).ask(pieces)
     short = [(p, n) for p, n in zip(pieces, counts) if n < 256]
     return "\0".join(p for p, _ in short).encode(), np.array([n for _, n in short], np.uint8).tobytes()
 
@@ -84,16 +85,15 @@ def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "do
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
-                texts = [t or "" for t in some.column("text").to_pylist()]
+            for some in slices(batch, "text"):
+                texts = pc.fill_null(some.column("text"), "")
                 if pieces:
-                    own = encoder(tokenizer, "count")
-                    table = _TABLES.get(id(own)) or _TABLES.setdefault(id(own), unpack(shared.value))
-                    found = own.all(texts, len, sum, table)
+                    own = encoder(tokenizer, count=True)
+                    table = _TABLES.get(tokenizer) or _TABLES.setdefault(tokenizer, unpack(shared.value))
+                    found = own.counts(texts, table)
                 else:
-                    found = list(map(len, _model(tokenizer).encode(texts, num_threads=1)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(found, pa.int64()), pa.array([n > limit for n in found], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                    found = np.array(list(map(len, _model(tokenizer).encode(texts.to_pylist(), num_threads=1))), np.int64)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(found), pa.array(found > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(lookup, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -10,8 +10,8 @@ Each attempt of a task writes files of its own name and only the attempt whose r
 the index counts, so lost executors and repeated tasks do no harm.
 
 Defined cases: null text is empty and still gets its end id; documents with a null id come first and
-keep it; rows with the same id are ordered by text; an empty table gives an empty store. A shard
-holds one document at a time beside its buffers, so very long texts are no exception. Other columns
+keep it; rows with the same id are ordered by text; an empty table gives an empty store. A task
+holds a few megabytes of texts at a time, or one longer text. Other columns
 are ignored.
 """
 
@@ -27,13 +27,12 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import as_bytes, encoder
+from .bpe import encoder, slices, vocabulary_size
 from .common import work_dir
 from .files import attempt_name, locate, mapped
 from .ordering import Ranges
 
 END_ID = 2
-BATCH = 512
 INDEX = "shard int, stem string, n_docs long, n_null long, n_tokens long, width int"
 
 
@@ -46,11 +45,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranges = Ranges(docs)
+    dtype = id_dtype(max(vocabulary_size(tokenizer), end_id + 1))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer, "bytes")
-        dtype = id_dtype(max(own.lib.get_vocab_size(), end_id + 1))
-        width, value, end = np.dtype(dtype).itemsize, as_bytes(dtype), np.array([end_id], dtype).tobytes()
+        own = encoder(tokenizer, dtype=dtype)
         number = TaskContext.get().partitionId()
         system, folder = locate(path)
         system.create_dir(folder, recursive=True)
@@ -58,22 +56,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
         lengths, ids, nulls = [], [], 0
         with system.open_output_stream(f"{folder}/{stem}.ids") as out:
             for batch in batches:
-                for at in range(0, batch.num_rows, BATCH):
-                    some = batch.slice(at, BATCH)
-                    for found in own.all(some.column("text").to_pylist(), value, b"".join):
-                        out.write(found)
-                        out.write(end)
-                        lengths.append(len(found) // width + 1)
+                for some in slices(batch, "text"):
+                    found, sizes = own.encode(some.column("text"), end_id)
+                    out.write(found.tobytes())
+                    lengths.append(sizes)
                     nulls += some.column("doc_id").null_count
                     ids.append(some.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
         if not lengths:
             system.delete_file(f"{folder}/{stem}.ids")
             return
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.uint64)]).astype("<u8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<u8")
         for kind, array in (("offsets", offsets), ("docs", np.concatenate(ids).astype("<i8"))):
             with system.open_output_stream(f"{folder}/{stem}.{kind}") as out:
                 out.write(array.tobytes())
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "stem": [stem], "n_docs": [len(lengths)], "n_null": [nulls], "n_tokens": [int(offsets[-1])], "width": pa.array([width], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "stem": [stem], "n_docs": [len(offsets) - 1], "n_null": [nulls], "n_tokens": [int(offsets[-1])], "width": pa.array([np.dtype(dtype).itemsize], pa.int32())})
 
     parts = docs.withColumn("_part", ranges.of(F.col("doc_id"))).repartitionById(ranges.parts, F.col("_part")).sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     parts.mapInArrow(shard, INDEX).write.parquet(f"{path}/written")
