@@ -8,7 +8,7 @@ and takes the first one away.
 
 Since no piece holds a marker after another character (which is checked), the best segmentation of a
 text is that of its chunks, each a run of spaces and what follows up to the next, so workers keep the
-ids of chunks in a bounded cache. Scores are added as 64-bit numbers within a chunk.
+ids of chunks in a bounded cache. Likewise a line break that no piece holds is a chunk of its own. Scores are added as 64-bit numbers within a chunk.
 
 Models without normalisation (``identity``) are supported; others are refused.
 
@@ -37,7 +37,7 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
 LONGEST_KEPT, MOST_KEPT = 48, 300_000
-_CHUNK = re.compile(r" +[^ ]*")
+_CHUNK, _CHUNK_OF_LINE = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -153,10 +153,12 @@ class Processor:
         # A user's own piece always wins over what it is made of.
         self.scores = [len(p) * top - 0.1 if k == USER else s for p, s, k in zip(model.pieces, model.scores, model.kinds)]
         self.parts = not any(MARKER in model.pieces[i].lstrip(MARKER) for i in usable)
+        self.chunk = _CHUNK if any("\n" in model.pieces[i] for i in usable) else _CHUNK_OF_LINE
         trie = Trie({model.pieces[i].encode(): i for i in usable})
         self.base, self.check, self.value = trie.base.tolist(), trie.check.tolist(), trie.value.tolist()
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
+        self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]
         self.kept = Cache(MOST_KEPT)
 
     def viterbi(self, text: str) -> list[int]:
@@ -221,31 +223,15 @@ class Processor:
             text = " " + text
         if not self.parts:
             return np.array(self.viterbi(text.replace(" ", MARKER)), np.int32)
-        chunks = _CHUNK.findall(text)
-        if text[0] != " ":
-            chunks.insert(0, text.partition(" ")[0])
+        chunks = self.chunk.findall(text)
         known = self.kept.get
         found = [x if x is not None else self._chunk(c) for c, x in zip(chunks, map(known, chunks))]
         self.kept.age()
         return np.concatenate(found)
 
     def decode(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                raw.append(int(self.pieces[i][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if kind in (NORMAL, USER):
-                out.append(self.pieces[i])
-            elif kind == UNKNOWN:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        raw = self.raw
+        text = b"".join([raw[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
         if self.prefix and text.startswith(MARKER):
             text = text[1:]
         return text.replace(MARKER, " ")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, quality_rules, secret_scans, spot_signatures, token_counts, token_files, warc
+from . import mixing, ngram_join, pieces, quality_rules, secret_scans, spot_signatures, token_counts, token_files, warc
 from .common import table
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_spot_signatures": _over("documents", spot_signatures.query),
     "op4_warc": _over("pages", warc.query),
     "op5_ngram_join": _over("documents", ngram_join.query),
+    "op6_pieces": _over("documents", lambda docs: pieces.query(docs, tokenizer("piece_bpe_32k.model"))),
     "op7_quality_rules": _over("documents", quality_rules.query),
     "op8_secret_scans": _over("documents", secret_scans.query),
     "op9_token_counts": _over("documents", lambda docs: token_counts.query(docs, tokenizer("byte_bpe_50k.json"))),
