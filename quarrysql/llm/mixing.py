@@ -28,6 +28,8 @@ SEED = 17
 #: Bits of the hash that each refinement of a cut reads, and how many refinements there are.
 RADIX_BITS, LEVELS = 10, 2
 HASH_BITS = 60
+#: Most sources whose table is broadcast (some 100 bytes each).
+BROADCAST_SOURCES = 10_000
 
 
 def seeded(doc_id: Column, seed: int) -> Column:
@@ -48,10 +50,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     whole = Window.partitionBy()
     before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    # The level at which this source and all after it would share what those before it leave.
+    # The level at which this source and all after it would share what those before it leave. Up to the
+    # first source that is not capped there, sources are capped; its level is the greatest of such.
     per = per.withColumn("level", (F.sum("source_size").over(whole) * budget - before) / left)
     open_ = F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))
-    return per.withColumn("final", F.min(open_).over(whole)).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
+    return per.withColumn("final", F.max(open_).over(whole)).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def cuts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -69,29 +72,62 @@ def cuts(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         bucket = F.shiftright("h", shift) if level < LEVELS else F.col("h")
         sums = rows.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("words"))
         run = F.sum("words").over(Window.partitionBy("source").orderBy("b"))
-        sums = sums.withColumn("run", run).join(wanted, F.col("source").eqNullSafe(F.col("_s")))
+        sums = sums.withColumn("run", run).join(_small(wanted), F.col("source").eqNullSafe(F.col("_s")))
         crossed = sums.where((F.col("run") >= F.col("_need")) & (F.col("run") - F.col("words") < F.col("_need")))
         crossed = crossed.select("_s", "b", (F.col("_need") - F.col("run") + F.col("words")).alias("_need"), "words")
         if level == LEVELS:
             return crossed.select(F.col("_s").alias("source"), F.col("b").alias("at"), F.col("_need").alias("part"), F.col("words").alias("tied"))
+        # A row a source: the next level reads these, and the rows of one bucket in 2 to the RADIX_BITS.
+        crossed = cut(crossed)
         wanted = crossed.select("_s", "_need")
-        inside = crossed.select("_s", F.col("b").alias("_b"))
+        inside = _small(crossed.select("_s", F.col("b").alias("_b")))
         rows = rows.join(inside, F.col("source").eqNullSafe(F.col("_s")) & (bucket == F.col("_b")), "left_semi")
     raise AssertionError
 
 
+def _small(sources: DataFrame) -> DataFrame:
+    """A table with a row a source, sent to all tasks if it has ``BROADCAST_SOURCES`` rows at most. Of
+    more, the join is left to adaptive execution, which splits a hot source's partition."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources
+
+
+def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """A row a source of ``sizes`` (source, size, h): its size, target, whole repetitions and cut."""
+    per = targets(sizes, weights, budget, max_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    per = per.withColumn("whole", epochs)
+    per = cut(per.withColumn("need", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
+    at = cuts(sizes, per.where("need > 0")).withColumnRenamed("source", "_cut")
+    return cut(per.join(at, F.col("source").eqNullSafe(F.col("_cut")), "left").withColumnRenamed("source", "_source").drop("_cut"))
+
+
+def _sized(docs: DataFrame, seed: int, doc_id: str, text: str, source: str) -> dict[str, Column]:
+    return {"_name": F.col(source), "_size": F.size(words(F.col(text))).cast("long"), "_h": seeded(F.col(doc_id), seed)}
+
+
+def _taken(df: DataFrame, per: DataFrame) -> DataFrame:
+    """``df`` (_name, _size, _h and others) with its source's plan and ``_taken``."""
+    more = F.when(F.col("_h") < F.col("at"), F.col("_size")).when(F.col("_h") == F.col("at"), F.floor(F.col("part") * F.col("_size") / F.col("tied")))
+    taken = F.col("whole") * F.col("_size") + F.coalesce(more, F.lit(0)).cast("long")
+    return df.join(_small(per), F.col("_name").eqNullSafe(F.col("_source"))).withColumn("_taken", taken)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row of ``docs``."""
-    sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), seeded(F.col(doc_id), seed).alias("h")))
-    plan = targets(sizes, weights, budget, max_epochs)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", epochs)
-    plan = cut(plan.withColumn("need", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
-    at = cuts(sizes, plan.where("need > 0")).withColumnRenamed("source", "_cut")
-    plan = plan.join(at, F.col("source").eqNullSafe(F.col("_cut")), "left").withColumnRenamed("source", "_source").drop("_cut")
-    more = F.when(F.col("h") < F.col("at"), F.col("size")).when(F.col("h") == F.col("at"), F.floor(F.col("part") * F.col("size") / F.col("tied")))
-    taken = F.col("whole") * F.col("size") + F.coalesce(more, F.lit(0)).cast("long")
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in _sized(docs, seed, doc_id, text, source).items()]))
+    per = plan(sizes.select(F.col("_name").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), weights, budget, max_epochs)
+    return _taken(sizes, per).select("doc_id", F.col("_name").alias("source"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
+
+
+def stage(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """Every document as often as the mix takes it: its whole repetitions, and once more if it lies
+    before its source's cut, or at it with half of its words or more. The texts aren't exchanged."""
+    sized = _sized(docs, seed, "doc_id", "text", "source")
+    per = plan(cut(docs.select(*[c.alias(n.lstrip("_").replace("name", "source")) for n, c in sized.items()])), weights, budget, max_epochs)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)], *[c.alias(n) for n, c in sized.items()])
+    times = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
+    taken = _taken(own, per).withColumn("_times", times).where("_times > 0")
+    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -111,7 +147,7 @@ w as (select *, cast([{weights}][cast((row_number() over (order by source nulls
              cast(source_size as double) * {float(MAX_EPOCHS)} as cap from s),
 v as (select *, (cast(sum(source_size) over () as double) * {BUDGET} - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
              / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from w),
-t as (select source, source_size, least(cap, coalesce(min(case when cap > level * weight then level end) over () * weight, cap)) as target from v),
+t as (select source, source_size, least(cap, coalesce(max(case when cap > level * weight then level end) over () * weight, cap)) as target from v),
 p as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole from t),
 n as (select *, cast(round(target - whole * source_size) as bigint) as need from p),
 r as (select source, h, cast(sum(size) as bigint) as words from d where size > 0 group by source, h),

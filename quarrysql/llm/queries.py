@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, pieces, quality_rules, secret_scans, spot_signatures, token_counts, token_files, warc
+from . import mixing, ngram_join, pieces, quality_rules, secret_scans, site_quality, spot_signatures, token_counts, token_files, warc
 from .common import table
 
 
@@ -24,6 +24,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": _over("documents", lambda docs: token_files.query(docs, tokenizer("byte_bpe_50k.json"))),
     "op2_spot_signatures": _over("documents", spot_signatures.query),
+    "op3_site_quality": lambda spark, sf_dir: site_quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_warc": _over("pages", warc.query),
     "op5_ngram_join": _over("documents", ngram_join.query),
     "op6_pieces": _over("documents", lambda docs: pieces.query(docs, tokenizer("piece_bpe_32k.model"))),

@@ -260,6 +260,12 @@ def redact(docs: DataFrame, net: Network | None = None, text: str = "text") -> D
     return docs.mapInArrow(clean, docs.schema)
 
 
+def stage(docs: DataFrame) -> DataFrame:
+    """All documents, without their secrets and with ``n_chars``, if they have it, set anew."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
 def _without(text: str | None, found: list[Finding]) -> str | None:
     if not found:
         return text
