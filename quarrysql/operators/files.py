@@ -53,7 +53,7 @@ def contents(df: DataFrame, path_column: str = "path", content_column: str = "co
     if not names:
         return df.withColumn(content_column, F.lit(None).cast("string"))
     root = _common_root(df, path_column)
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(plain_path(F.col("_metadata.file_path")).alias("_file"), F.col("value").alias(content_column))
+    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("_file"), F.col("value").alias(content_column))
     return df.join(texts, F.col(f"`{path_column}`") == F.col("_file")).drop("_file")
 
 
@@ -86,6 +86,8 @@ def decode_tree(spark: SparkSession, root: str, mime: str, schema: T.StructType
     own = codec(mime)
     if own is None:
         raise ValueError(f"no codec for {mime!r}")
+    if schema is not None:
+        schema = T.StructType([f for f in schema if f.name not in taken])
     records = own.read(spark, root, schema, first)
     kept = [F.col(f"`{f.name}`") for f in records.schema if f.name not in taken or f.name == "_file"]
     return records.select(*kept)

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..types import struct
+
 SNIFFED = 200_000
 
 
@@ -65,7 +67,7 @@ def sniff(sample: str) -> tuple[csv.Dialect, bool]:
 def _read_csv(spark: SparkSession, root: str, schema: T.StructType | None, first: str) -> DataFrame:
     """Columns are strings by the first file's header unless a schema is declared; then values are
     cast to it. The first line of every file is taken for its header."""
-    sample = spark.read.option("wholetext", True).text(first).select(F.substring("value", 1, SNIFFED)).first()[0]
+    sample = spark.read.text(first, wholetext=True).select(F.substring("value", 1, SNIFFED)).first()[0]
     dialect, headed = sniff(sample)
     reader = spark.read.option("recursiveFileLookup", True).option("sep", dialect.delimiter).option("quote", dialect.quotechar or '"').option("escape", '"')
     names = next(csv.reader(io.StringIO(sample), dialect))
@@ -89,10 +91,10 @@ def decodes(mime: str, schema: Callable | T.StructType | None = None):
         def read(spark, root, declared, first):
             own = declared if declared is not None else schema
             if callable(own):
-                own = own(io.StringIO(spark.read.option("wholetext", True).text(first).first()[0]))
+                own = own(io.StringIO(spark.read.text(first, wholetext=True).first()[0]))
             if own is None:
                 raise ValueError(f"records of {mime} need a schema")
-            out = T.StructType([*own.fields, T.StructField("_file", T.StringType())])
+            out = T.StructType([*struct(own).fields, T.StructField("_file", T.StringType())])
 
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for batch in batches:
@@ -100,7 +102,7 @@ def decodes(mime: str, schema: Callable | T.StructType | None = None):
                         rows = [(*(r.values() if isinstance(r, dict) else r), path) for r in function(io.StringIO(text))]
                         yield pd.DataFrame(rows, columns=out.names)
 
-            texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select("value", _file())
+            texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select("value", _file())
             return texts.mapInPandas(run, out)
 
         _CODECS[mime] = Codec(read)
