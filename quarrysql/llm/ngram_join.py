@@ -394,8 +394,18 @@ def _search_blocks(rows: DataFrame, threshold: Fraction) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "kind", "size", "node").mapInArrow(search, "a long, b long")
 
 
-def prefix_ties(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: each node tied to the least node that has the same prefix shingle."""
+def length_bounds(threshold: Fraction, top: int = 1 << 40) -> np.ndarray:
+    """The first length of each partition: a set is like sets of its own and the next one only."""
+    out = [1]
+    while out[-1] < top:
+        out.append(int(out[-1] / threshold) + 1)
+    return np.array(out)
+
+
+def prefix_ties(sets: DataFrame, threshold: Fraction, by_length: bool = False) -> DataFrame:
+    """a, b: each node tied to the least node that has the same prefix shingle; by_length: and is in
+    the same or the next partition of lengths."""
+    bounds = length_bounds(threshold)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,6 +416,10 @@ def prefix_ties(sets: DataFrame, threshold: Fraction) -> DataFrame:
                     # Those that nobody shares are the rarest, and use up their part of the prefix.
                     n = len(shared) - least_overlap(r["size"], threshold) + 1
                     keys.append(shared[:n])
+                    if by_length:
+                        part = int(np.searchsorted(bounds, r["size"], "right"))
+                        own = keys[-1] ^ (np.int64(part) * np.int64(0x5851F42D4C957F2D))
+                        keys[-1] = np.concatenate([own, keys[-1] ^ (np.int64(part + 1) * np.int64(0x5851F42D4C957F2D))])
                     nodes.append(np.full(len(keys[-1]), r["node"]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["shingle", "node"])
 
@@ -414,9 +428,9 @@ def prefix_ties(sets: DataFrame, threshold: Fraction) -> DataFrame:
     return rows.join(first, F.col("shingle") == F.col("_s")).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def find_links(sets: DataFrame, threshold: Fraction, block: int = BLOCK) -> DataFrame:
+def find_links(sets: DataFrame, threshold: Fraction, block: int = BLOCK, by_length: bool = False) -> DataFrame:
     """a, b: links whose components are those of all links between the sets."""
-    groups = cut(components(prefix_ties(sets, threshold)))
+    groups = cut(components(prefix_ties(sets, threshold, by_length)))
     sizes = cut(groups.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("members")))
     member = sets.join(groups, "node").join(sizes, F.col("label") == F.col("_label"))
     small = member.where(F.col("members") <= block).select(F.xxhash64("label").alias("block"), F.lit(0).alias("kind"), "node", "size", "shared")

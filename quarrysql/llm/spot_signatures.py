@@ -20,12 +20,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Cache
+from .common import cut, stored
+from .graph import components
+from .ngram_join import find_links
 from .ordering import Ranges
 
 #: Common words of English, German, French and Spanish.
@@ -143,5 +147,28 @@ def with_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return parts.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_signatures and component_id: the least id among the documents that links of
+    ``threshold`` likeness or more reach. Equal sets are one node, with the least of their ids; empty
+    sets link with nothing; of rows with a null id, those that have a node's set get its component."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sigs = [signatures(t) for t in some.column("text").to_pylist()]
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sigs]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sigs], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sigs], pa.binary())], ["doc_id", "size", "digest", "shared"])
+
+    known = stored(docs.mapInArrow(sets_of, "doc_id long, size long, digest binary, shared binary"), "spot-sets")
+    nodes = known.where("size > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    sets = cut(known.join(nodes, (known["digest"] == nodes["digest"]) & (known["doc_id"] == nodes["node"])).select("node", "size", "shared"))
+    labels = cut(components(find_links(sets, threshold, by_length=True)))
+    classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "node").alias("_label"))
+    rows = known.select("doc_id", "size", "digest").join(classes, F.col("digest") == F.col("_digest"), "left")
+    return rows.select("doc_id", F.col("size").alias("n_signatures"), F.coalesce("_label", "doc_id").alias("component_id"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return with_edited(docs)

@@ -108,6 +108,37 @@ def test_spot_signatures(stored, empty):
     assert len(spot_signatures.query(stored(ODD)).collect()) == len(ODD)
 
 
+def test_near_duplicates(stored, empty):
+    r = random.Random(8)
+    common, words = ["the", "of", "and", "is"], [f"word{i}" for i in range(500)]
+    rows = []
+    for i in range(160):
+        if i % 3 == 0 or not rows:
+            w = [x for _ in range(r.randrange(5, 60)) for x in (r.choice(common), r.choice(words), r.choice(words))]
+        else:
+            w = rows[-1][1].split()
+            w[r.randrange(len(w))] = r.choice(words)
+            w += w[: r.randrange(0, 12)]
+        rows.append((i, " ".join(w)))
+    sets = {i: set(spot_signatures.signatures(t).tolist()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: (r.n_signatures, r.component_id) for r in spot_signatures.near_duplicates(stored(rows)).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert spot_signatures.near_duplicates(empty).collect() == []
+    assert spot_signatures.near_duplicates(stored(ODD)).count() == len(ODD)
+
+
 def test_likeness_is_pruned_by_length():
     a, b = np.arange(4, dtype=np.uint32), np.arange(10, dtype=np.uint32)
     assert spot_signatures.likeness(a, b) == 0.4 and spot_signatures.likeness(a, b, 0.5) == 0.0
