@@ -54,7 +54,9 @@ from .graph import components
 
 N = 5
 THRESHOLD = Fraction(3, 4)
-#: Most nodes of a block, shingles and documents of a chunk, and pivots of a large group.
+#: Most nodes of a block, shingles and documents of a chunk, pivots of a large group, and about as many
+#: queries as a block gets at once.
+ASKING = 1024
 BLOCK, CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 512, 1_500_000, 60_000, 16
 #: Fixed value: the factor of DivideSkip's rule for the number of long lists.
 MU = 0.0085
@@ -453,11 +455,15 @@ def _large(large: DataFrame, threshold: Fraction, block: int) -> DataFrame:
     labels = components(known).withColumnRenamed("label", "cluster")
     now = large.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("_n")
     now = cut(now.select("label", "members", "chunk", "node", "size", "cluster", "shared"))
-    most = now.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("label").alias("_label")).agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
+    most = now.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("label").alias("_label"))
+    most = most.agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.greatest(F.lit(1), F.ceil((F.sum("n") - F.max("n")) / ASKING)).cast("int").alias("parts"))
     now = now.join(most, F.col("label") == F.col("_label"))
-    indexed = now.select(number("label", "chunk"), F.lit(0).alias("kind"), "node", "size", "shared")
+    # Where many ask, a block is searched in parts, each with its share of the queries: no task grows
+    # with its group.
+    indexed = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(number("label", "chunk", "part"), F.lit(0).alias("kind"), "node", "size", "shared")
     # A link between two components has an end outside the main one: that end asks everywhere.
-    asking = now.where("cluster <> main").withColumn("chunk", chunks).select(number("label", "chunk"), F.lit(1).alias("kind"), "node", "size", "shared")
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
+    asking = now.where("cluster <> main").withColumn("part", part).withColumn("chunk", chunks).select(number("label", "chunk", "part"), F.lit(1).alias("kind"), "node", "size", "shared")
     return known.union(_search_blocks(indexed.union(asking), threshold))
 
 

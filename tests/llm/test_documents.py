@@ -55,7 +55,8 @@ def near_copies(seed=3, n=260):
 
 
 @pytest.mark.parametrize("block", [512, 16])
-def test_join_is_exact(stored, block):
+def test_join_is_exact(stored, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ASKING", 10)
     rows = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(stored(rows), block=block).collect()}
     assert got == brute_join(rows)
