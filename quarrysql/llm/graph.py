@@ -1,14 +1,37 @@
-"""Connected components of an undirected graph, by alternating stars over DataFrames."""
+"""Connected components of an undirected graph, by alternating stars over DataFrames; small graphs, whose
+size is checked, in one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
+#: Up to so many edges, counted first, one task unites them all.
+SMALL = 400_000
+
+
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(parent), "label": [find(x) for x in parent]}, dtype="int64")
+
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """node, label of every node in ``edges`` (a long, b long); label: the least node it reaches.
+    A graph of ``small`` edges or fewer is united in one task; others as follows.
 
     Large stars tie each node's greater neighbours to its least one, small stars its smaller ones;
     when nothing changes, every node hangs on its component's least node. Each step is two
@@ -19,6 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         size = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
+        if before is None and size[0] <= small:
+            return now.coalesce(1).mapInPandas(_united, "node long, label long")
         if size == before or not size[0]:
             break
         before = size

@@ -432,7 +432,7 @@ def prefix_ties(sets: DataFrame, threshold: Fraction, by_length: bool = False) -
 
 def find_links(sets: DataFrame, threshold: Fraction, block: int = BLOCK, by_length: bool = False) -> DataFrame:
     """a, b: links whose components are those of all links between the sets."""
-    groups = cut(components(prefix_ties(sets, threshold, by_length)))
+    groups = stored(components(prefix_ties(sets, threshold, by_length)), "groups")
     sizes = cut(groups.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("members")))
     member = sets.join(groups, "node").join(sizes, F.col("label") == F.col("_label"))
     small = member.where(F.col("members") <= block).select(F.xxhash64("label").alias("block"), F.lit(0).alias("kind"), "node", "size", "shared")
@@ -451,8 +451,8 @@ def _large(large: DataFrame, threshold: Fraction, block: int) -> DataFrame:
     pivot = large.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("members")) < PIVOTS)
     first = pivot.withColumn("chunk", chunks).select(number("label", "chunk"), F.lit(0).alias("kind"), "node", "size", "shared")
     first = first.union(large.select(number("label", "chunk"), F.lit(1).alias("kind"), "node", "size", "shared"))
-    known = cut(_search_blocks(first, threshold))
-    labels = components(known).withColumnRenamed("label", "cluster")
+    known = stored(_search_blocks(first, threshold), "pivot-links")
+    labels = stored(components(known), "pivot-clusters").withColumnRenamed("label", "cluster")
     now = large.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("_n")
     now = cut(now.select("label", "members", "chunk", "node", "size", "cluster", "shared"))
     most = now.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("label").alias("_label"))
@@ -474,7 +474,7 @@ def join(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: in
     nodes = known.where("near and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes.where("node is not null"), "shingle-nodes")
     sets = stored(sets_of(docs, nodes, n, threshold), "shingle-lists")
-    labels = cut(components(find_links(sets, threshold, block)))
+    labels = stored(components(find_links(sets, threshold, block)), "labels")
     classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "node").alias("_label"))
     rows = known.join(classes, (F.col("digest") == F.col("_digest")) & F.col("near"), "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("_label", "doc_id").alias("component_id"))

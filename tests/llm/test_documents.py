@@ -82,11 +82,12 @@ def test_divide_skip_finds_what_counting_finds():
             assert index.search(q, least) == [i for i, s in enumerate(sets) if len(set(s) & set(q)) >= least]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 90), (7, 7), (200, 201), (201, 202), (202, 200)]
-    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[95] == 90 and got[202] == 200
-    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert graph.components(spark.createDataFrame([], "a long, b long"), small).collect() == []
 
 
 # Fingerprints
