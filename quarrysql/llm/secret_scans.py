@@ -2,14 +2,16 @@
 
 Candidates are the base matches and every run of ``[A-Za-z0-9+/_.=-]`` of 16 characters or more with
 both a letter and a digit. The network (numpy only) reads a candidate together with the characters
-around it: one-hot character classes, one layer of convolutions, the largest response of each filter,
-and a logistic output. It is trained on labelled findings; its scores are calibrated by Platt scaling
+around it, a long one in overlapping frames over its whole length, of which the highest score counts:
+one-hot character classes, one layer of convolutions, the largest response of each filter, and a
+logistic output. It is trained on labelled findings; its scores are calibrated by Platt scaling
 on findings that training hasn't seen, and the threshold is the highest at which recall on these
 still reaches ``MIN_RECALL``. Base matches always stay; other candidates become findings of kind
 ``cnn`` when their calibrated score reaches the threshold and they don't overlap a base match.
 
-The labelled findings come from ``labelled()``: ``TRAIN_ROWS`` generated ones by a fixed seed, secrets
-of common makes and look-alikes that are none. That bound is a parameter; every text is scanned whole.
+The labelled findings come from ``labelled()`` and ``long_runs()``: ``TRAIN_ROWS`` and ``LONG_ROWS``
+generated ones by a fixed seed, secrets of common makes and look-alikes that are none, alone and
+anywhere in long runs. Those bounds are parameters; every text is scanned whole.
 
 Defined cases: null or empty text has no findings (base_sha256 of the empty string); repeated rows
 are scanned one by one; an empty table gives an empty result; other columns stay out of the plan.
@@ -40,9 +42,13 @@ _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 TRAIN_ROWS = 3000
 MIN_RECALL = 0.97
 SEED = 5
+LONG_ROWS = 1000
 LEFT, BODY, RIGHT = 20, 44, 8
+STRIDE = BODY // 4
 WIDTH, FILTERS = 5, 24
 BATCH = 512
+#: Frames that are scored together.
+FRAMES = 16384
 
 #: Classes of characters; all others share the last one, and 0 is padding.
 _CLASSES = np.full(128, 1, np.uint8)
@@ -73,15 +79,32 @@ def candidates(text: str, taken: list[Finding]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if not any(a < f.end and f.start < b for f in taken)] if taken else found
 
 
+def classes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(raw < 128, _CLASSES[np.minimum(raw, 127)], 1)
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """The character classes of a candidate with its context, in a fixed frame."""
+    """The character classes of a candidate of up to ``BODY`` characters, or of the first ones of a
+    longer one, with its context, in a fixed frame."""
     out = np.zeros(LEFT + BODY + RIGHT, np.uint8)
     for piece, at in ((text[max(0, start - LEFT) : start], LEFT - min(LEFT, start)), (text[start : min(end, start + BODY)], LEFT), (text[end : end + RIGHT], LEFT + BODY)):
-        raw = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
-        out[at : at + len(raw)] = np.where(raw < 128, _CLASSES[np.minimum(raw, 127)], 1)
+        raw = classes(piece)
+        out[at : at + len(raw)] = raw
     return out
 
 
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """The frames of a whole candidate: one, or of a longer one than ``BODY`` a frame every ``STRIDE``
+    characters and one at its end, each with what stands around it in the text."""
+    if end - start <= BODY:
+        return window(text, start, end)[None]
+    left, right = min(LEFT, start), min(RIGHT, len(text) - end)
+    raw = np.pad(classes(text[start - left : end + right]), (LEFT - left, RIGHT - right))
+    at = np.append(np.arange(0, end - start - BODY, STRIDE), end - start - BODY)
+    return np.lib.stride_tricks.sliding_window_view(raw, LEFT + BODY + RIGHT)[at]
+
+
 class Network:
     """Convolution of ``WIDTH`` characters, ReLU, maximum over positions, logistic output."""
 
@@ -105,6 +128,20 @@ class Network:
         """Calibrated probabilities."""
         return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.shift)))
 
+    def score_whole(self, found: list[tuple[str, int, int]]) -> np.ndarray:
+        """Of each candidate, (text, start, end), the highest calibrated probability of its frames."""
+        out: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size = 0
+        for i, f in enumerate(found):
+            held.append(windows(*f))
+            size += len(held[-1])
+            if size >= FRAMES or i == len(found) - 1:
+                starts = np.cumsum([0, *map(len, held[:-1])])
+                out.append(np.maximum.reduceat(self.score(np.concatenate(held)), starts))
+                held, size = [], 0
+        return np.concatenate(out) if out else np.zeros(0)
+
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 8, rate: float = 0.01, batch: int = 64, seed: int = SEED) -> None:
         """Adam on the logistic loss."""
         r = np.random.default_rng(seed)
@@ -134,9 +171,11 @@ class Network:
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     setattr(self, k, getattr(self, k) - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, min_recall: float = MIN_RECALL) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps ``min_recall``."""
-        z = self.raw(x).astype(float)
+    def calibrate(self, found: list[tuple[str, int, int]], y: np.ndarray, min_recall: float = MIN_RECALL) -> None:
+        """Platt scaling by Newton steps, then the highest threshold that keeps ``min_recall``, both of
+        candidates that one frame holds and of longer ones."""
+        frames = [windows(*f) for f in found]
+        z = np.maximum.reduceat(self.raw(np.concatenate(frames)).astype(float), np.cumsum([0, *map(len, frames[:-1])]))
         ys = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         a = np.array([1.0, 0.0])
         design = np.stack([z, np.ones_like(z)], 1)
@@ -145,10 +184,50 @@ class Network:
             h = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
             a = a - np.linalg.solve(h, design.T @ (p - ys))
         self.slope, self.shift = map(float, a)
-        hits = np.sort(self.score(x)[y > 0])
-        self.threshold = float(max(0.5, hits[int(np.floor((1 - min_recall) * len(hits)))]) if len(hits) else 1.0)
-        if len(hits) and (hits >= self.threshold).mean() < min_recall:
-            self.threshold = float(hits[int(np.floor((1 - min_recall) * len(hits)))])
+        scores, long = self.score_whole(found), np.array([end - start > BODY for _, start, end in found])
+        each = [np.sort(scores[(y > 0) & kind]) for kind in (~long, long)]
+        at = [float(hits[int(np.floor((1 - min_recall) * len(hits)))]) for hits in each if len(hits)]
+        self.threshold = min(at) if at else 1.0
+
+
+def long_runs(rows: int = LONG_ROWS, seed: int = SEED) -> tuple[list[tuple[str, int, int]], np.ndarray, list[tuple[int, int]]]:
+    """Generated candidates of more than ``BODY`` characters, (text, start, end) each, 1 for those
+    that hold a secret, and where it is: at the start, in the middle or at the end. The parts are those
+    of ``labelled()``, joined as paths, dotted names and assignments."""
+    found, y = labelled(2 * rows, seed + 1)
+    parts: tuple[list[str], list[str]] = ([], [])
+    for (text, start, end), secret in zip(found, y):
+        parts[int(secret)].append(re.sub(r"[^A-Za-z0-9+/_.=-]", "n", text[start:end]))
+    r = np.random.default_rng(seed + 2)
+    pick = lambda xs: xs[r.integers(len(xs))]
+    runs, labels, places = [], [], []
+    for i in range(rows):
+        own = [pick(parts[0]) for _ in range(r.integers(3, 8))]
+        while sum(map(len, own)) <= BODY:
+            own.append(pick(parts[0]))
+        joined = [p + pick("/.=_-/./.") for p in own]
+        at, secret = int(r.integers(len(own) + 1)), pick(parts[1]) if i % 2 else ""
+        left = pick(("see ", "at ", "http://", "in (", "")) + "".join(joined[:at])
+        run = left + secret + (pick("/.=_-") if secret and at < len(own) else "") + "".join(joined[at:])[:-1]
+        start = len(left) - len("".join(joined[:at]))
+        runs.append((run + pick((" ", ". ", "\n", ") ")) + "and on", start, len(run)))
+        labels.append(i % 2)
+        places.append((len(left), len(left) + len(secret)))
+    return runs, np.array(labels, np.float32), places
+
+
+def long_frames(found: list[tuple[str, int, int]], y: np.ndarray, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Frames to fit on: 1 for those that hold a secret, or ``BODY - STRIDE`` characters of it, 0 for
+    those without any of it; what holds less of it is left out."""
+    frames, labels = [], []
+    for (text, start, end), secret, (a, b) in zip(found, y, places):
+        own = windows(text, start, end)
+        at = start + np.append(np.arange(0, end - start - BODY, STRIDE), end - start - BODY)
+        both = np.minimum(at + BODY, b) - np.maximum(at, a)
+        fit = (both <= 0) | (both >= min(b - a, BODY - STRIDE)) if secret else np.ones(len(own), bool)
+        frames.append(own[fit])
+        labels.append((both[fit] > 0) & (secret > 0))
+    return np.concatenate(frames), np.concatenate(labels).astype(np.float32)
 
 
 def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[list[tuple[str, int, int]], np.ndarray]:
@@ -189,13 +268,14 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[list[tuple[str,
 
 
 def train(rows: int = TRAIN_ROWS, seed: int = SEED, min_recall: float = MIN_RECALL) -> Network:
-    """A network fitted on three quarters of the labelled findings, calibrated on the last."""
+    """A network fitted on three quarters of the labelled findings and long runs, calibrated on the last."""
     found, y = labelled(rows, seed)
-    x = np.stack([window(*f) for f in found])
-    cut = rows * 3 // 4
+    runs, runs_y, places = long_runs(rows * LONG_ROWS // TRAIN_ROWS, seed)
+    cut, runs_cut = rows * 3 // 4, len(runs) * 3 // 4
+    frames, frames_y = long_frames(runs[:runs_cut], runs_y[:runs_cut], places[:runs_cut])
     net = Network(seed)
-    net.fit(x[:cut], y[:cut], seed=seed)
-    net.calibrate(x[cut:], y[cut:], min_recall)
+    net.fit(np.concatenate([np.stack([window(*f) for f in found[:cut]]), frames]), np.concatenate([y[:cut], frames_y]), seed=seed)
+    net.calibrate(found[cut:] + runs[runs_cut:], np.concatenate([y[cut:], runs_y[runs_cut:]]), min_recall)
     return net
 
 
@@ -207,14 +287,14 @@ def scan(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 some = batch.slice(at, BATCH)
-                owners, spans, frames = [], [], []
+                owners, spans, whole = [], [], []
                 for i, t in enumerate(some.column("text").to_pylist()):
                     base = base_findings(t) if t else []
                     for f in [*base, *(Finding(a, b, "cnn") for a, b in candidates(t or "", base))]:
                         owners.append(i)
                         spans.append(f)
-                        frames.append(window(t, f.start, f.end))
-                scores = net.score(np.stack(frames)) if frames else ()
+                        whole.append((t, f.start, f.end))
+                scores = net.score_whole(whole)
                 rows: list[list[dict]] = [[] for _ in range(some.num_rows)]
                 for i, f, p in zip(owners, spans, scores):
                     if f.kind != "cnn" or p >= net.threshold:
@@ -250,7 +330,7 @@ def redact(docs: DataFrame, net: Network | None = None, text: str = "text") -> D
                 texts = batch.column(at).slice(start, BATCH).to_pylist()
                 found = [base_findings(t) if t else [] for t in texts]
                 more = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, found[i])]
-                scores = net.score(np.stack([window(texts[i], a, b) for i, a, b in more])) if more else ()
+                scores = net.score_whole([(texts[i], a, b) for i, a, b in more])
                 for (i, a, b), p in zip(more, scores):
                     if p >= net.threshold:
                         found[i].append(Finding(a, b, "cnn"))

@@ -228,6 +228,28 @@ def test_network_on_findings_it_has_not_seen():
     assert secret_scans.train().threshold == net.threshold
 
 
+TOKEN = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ2bC4dF6hJ8"
+LONG = [(1, "see //host/long/path/of/more/than/forty/four/chars/in/all/" + TOKEN + " there"), (2, "a.b.c=" + "some.name.of.a.part." * 4 + "x=" + TOKEN + "/and/more/" * 9 + "end now"), (3, "see //host/long/path/of/more/than/forty/four/chars/in/all/part_1/index.html there")]
+
+
+def test_secrets_in_long_runs(stored):
+    docs = stored(LONG)
+    spans = {r.doc_id: r.spans for r in secret_scans.query(docs).collect()}
+    assert spans == {1: f"cnn:4:{len(LONG[0][1]) - 6}", 2: f"cnn:0:{len(LONG[1][1]) - 4}", 3: ""}
+    out = {r.doc_id: r.text for r in secret_scans.stage(docs).collect()}
+    assert out == {1: "see [cnn] there", 2: "[cnn] now", 3: LONG[2][1]}
+
+
+def test_network_on_long_runs_it_has_not_seen():
+    net = secret_scans.train()
+    runs, y, places = secret_scans.long_runs(600, seed=77)
+    hit = net.score_whole(runs) >= net.threshold
+    far = np.array([p[0] - start >= secret_scans.BODY for p, (_, start, _) in zip(places, runs)])
+    assert hit[(y > 0) & far].mean() > 0.85 and hit[y > 0].mean() > 0.9 and y[hit].mean() > 0.97
+    text = "é" + "a/b.c_" * 50
+    assert all((f == secret_scans.window(text, a, a + secret_scans.BODY)).all() for f, a in zip(secret_scans.windows(text, 1, 300), range(1, 240, secret_scans.STRIDE)))
+
+
 def test_redaction(stored):
     docs = stored(SECRETS)
     out = {r.doc_id: r for r in secret_scans.stage(docs).collect()}
