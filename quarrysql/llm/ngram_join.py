@@ -156,7 +156,7 @@ def _answers(exchanged: DataFrame, n_buckets: int, by_owner: bool) -> DataFrame:
                 at += len(low)
                 if by_owner:
                     ids, n = np.unique(owner[(own > 1) & (owner != _SEVERAL)], return_counts=True)
-                    answers.append(np.stack([ids, n.astype(np.uint16)]).tobytes())
+                    answers.append(np.stack([ids, n]).astype(np.uint32).tobytes())
                 else:
                     answers.append(_frequency_class(own).tobytes())
             for i in range(0, len(rows), 500):
@@ -237,7 +237,7 @@ def describe(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Da
         ids, null, sizes, shared, digests = _unblob(meta, "<i8", "?", "<i8", "<i8", "u1")
         shared = shared.copy()
         for a in answers.values():
-            owner, count = np.frombuffer(a, np.uint16).reshape(2, -1)
+            owner, count = np.frombuffer(a, np.uint32).reshape(2, -1)
             shared[owner] += count
         raw = digests.tobytes()
         near = (sizes > 0) & (shared * threshold.denominator >= sizes * threshold.numerator)

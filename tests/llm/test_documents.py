@@ -62,6 +62,22 @@ def test_join_is_exact(stored, block, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_join_of_texts_with_many_shared_shingles(spark, tmp_path):
+    words = [f"w{i}" for i in range(70_100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-50], "other", "end"])), (3, "neither of the two long ones")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id").write.parquet(path)
+    docs, before = spark.read.parquet(path), spark.conf.get("spark.sql.shuffle.partitions")
+    assert docs.rdd.getNumPartitions() == 3  # a chunk each
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one bucket
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_join(rows)
+    assert got[2][1] == 1
+
+
 def test_join_of_odd_rows(stored, odd, empty):
     assert ngram_join.query(empty).collect() == []
     got = [tuple(r) for r in ngram_join.join(odd).collect()]
