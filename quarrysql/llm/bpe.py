@@ -2,8 +2,8 @@
 
 A text is cut at its single spaces into pieces, each with the space before it. The splitting pattern
 of byte-level BPE never joins what stands on both sides of such a cut, so a piece has the same ids
-alone as in its text and is encoded once a worker. The exceptions go through the library as a whole
-text: special strings, and white space on both sides of a space (runs of it belong together).
+alone as in its text and is encoded once a worker. Runs of white space belong together, so texts that
+have any are cut at the other spaces only; texts with special strings go through the library whole.
 
 The pieces of a batch are cut and numbered by Arrow; Python looks up each distinct one, and numpy
 puts the ids of the texts together.
@@ -23,6 +23,10 @@ import pyarrow.compute as pc
 
 #: White space, then a space, then white space or the end.
 _RUN = re.compile(r"\s (?:\s|$)")
+#: A line break that the splitting pattern always parts from its neighbours, and such a space.
+_BREAK, _SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+#: Longer pieces are encoded each time; so many bytes of text are given to the library at once.
+LONGEST_KEPT, ASKED = 64, 1 << 20
 #: The letters by which byte-level BPE writes bytes: printable ones stand for themselves, the others,
 #: in order, for the letters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -58,8 +62,8 @@ class Encoder:
     """The ids of texts, or with ``count`` their number.
 
     Before the library is asked for a piece, it is parted where the splitting pattern does so in any
-    case: at a line break between two other characters, and between a letter and a full stop or
-    comma at the end.
+    case: at all line breaks between two other characters, in one pass, and between a letter and a full
+    stop or comma at the end.
     """
 
     def __init__(self, path: str, count: bool = False, dtype: str = "<u4", most: int = 500_000):
@@ -77,11 +81,31 @@ class Encoder:
         self.old: dict[bool, dict] = {False: {}, True: {}}
 
     def in_pieces(self, text: str) -> bool:
-        return self.parts and not _RUN.search(text) and not any(s in text for s in self.special)
+        return self.parts and not any(s in text for s in self.special)
+
+    def _with_runs(self, texts: list[str], table: dict | None) -> list:
+        """The values of texts that have runs of white space: they are cut at the other spaces only."""
+        pieces = [_SPACE.split(t) for t in texts]
+        heads = self.lookup([p[0] for p in pieces], False, table)
+        rests = self.lookup([x for p in pieces for x in p[1:]], True, table)
+        out, at = [], 0
+        for p, head in zip(pieces, heads):
+            own = rests[at : at + len(p) - 1]
+            at += len(own)
+            out.append(head + sum(own) if self.count else b"".join([head, *own]))
+        return out
 
     def ask(self, texts: list[str]) -> list:
         """The library's answers: numbers of ids, or ids as bytes."""
-        return self._values([e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]) if texts else []
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and size < ASKED:
+                size += len(texts[to])
+                to += 1
+            out += self._values([e.ids for e in self.lib.encode_batch_fast(texts[at:to], add_special_tokens=False)])
+            at = to
+        return out
 
     def _values(self, found: list[list[int]]) -> list:
         sizes = list(map(len, found))
@@ -100,41 +124,45 @@ class Encoder:
 
     def lookup(self, pieces: list[str], space: bool, table: dict | None = None) -> list:
         """The value of each piece."""
-        young = self.young[space]
-        values = list(map(young.get, pieces))
-        if None not in values:
-            return values
-        self._learn([p for p, v in zip(pieces, values) if v is None], space, table)
-        return list(map(young.__getitem__, pieces))
-
-    def _learn(self, pieces: list[str], space: bool, table: dict | None) -> None:
-        young, old, lead = self.young[space], self.old[space], " " if space else ""
-        if old:
-            young.update((p, old[p]) for p in pieces if p in old)
-            pieces = [p for p in pieces if p not in old]
-        if table:
-            young.update((p, table[lead + p]) for p in pieces if lead + p in table)
-            pieces = [p for p in pieces if lead + p not in table]
-        words = [p for p in pieces if p.isalpha()]
-        young.update(zip(words, self._ask_words(words, space)))
-        compound, plain = [], []
+        values = list(map(self.young[space].get, pieces))
+        if None in values:
+            found = self._learn(dict.fromkeys(p for p, v in zip(pieces, values) if v is None), space, table)
+            values = [found[p] if v is None else v for p, v in zip(pieces, values)]
+        return values
+
+    def _learn(self, pieces: dict[str, None], space: bool, table: dict | None) -> dict:
+        """The values of distinct pieces that the young generation lacks."""
+        old, lead, found = self.old[space], " " if space else "", {}
+        words, plain, parted = [], [], []
         for p in pieces:
-            if p.isalpha():
-                continue
-            if p[-1:] in (".", ",") and p[-2:-1].isalpha() and "\n" not in p:
-                compound.append((p, p[:-1], p[-1], ""))
-            elif (end := p.find("\n")) > 0 and end < len(p) - 1 and not (p[end - 1].isspace() or p[end + 1].isspace()):
-                compound.append((p, p[:end], "\n", p[end + 1 :]))
+            if p in old:
+                found[p] = old[p]
+            elif table and lead + p in table:
+                found[p] = table[lead + p]
+            elif p.isalpha():
+                words.append(p)
+            elif len(lines := _BREAK.split(p)) > 1:
+                parted.append((p, lines, "\n"))
+            elif p[-1:] in (".", ",") and p[-2:-1].isalpha():
+                parted.append((p, [p[:-1], p[-1]], ""))
             else:
                 plain.append(p)
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            young.update(zip(some, self.ask([lead + p for p in some])))
-        if compound:
-            heads = self.lookup([c[1] for c in compound], space, table)
-            marks = self.lookup([c[2] for c in compound], False, table)
-            rests = self.lookup([c[3] for c in compound], False, table)
-            young.update((c[0], x + y + z) for c, x, y, z in zip(compound, heads, marks, rests))
+        found.update(zip(words, self._ask_words(words, space)))
+        found.update(zip(plain, self.ask([lead + p for p in plain])))
+        if parted:
+            # Parts hold no line break to cut at, so this ends at their words.
+            heads = self.lookup([parts[0] for _, parts, _ in parted], space, table)
+            rests = self.lookup([x for _, parts, _ in parted for x in parts[1:]], False, table)
+            mark, at = self.lookup(["\n"], False, table)[0], 0
+            for (p, parts, between), head in zip(parted, heads):
+                own = rests[at : at + len(parts) - 1]
+                at += len(own)
+                if self.count:
+                    found[p] = head + sum(own) + (mark * len(own) if between else 0)
+                else:
+                    found[p] = (mark if between else b"").join([head, *own])
+        self.young[space].update(found if len(max(found, key=len, default="")) <= LONGEST_KEPT else {p: v for p, v in found.items() if len(p) <= LONGEST_KEPT})
+        return found
 
     def _age(self) -> None:
         for space, young in self.young.items():
@@ -146,8 +174,9 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         plain = texts.to_pylist()
         whole = {i: t for i, t in enumerate(plain) if not self.in_pieces(t)}
-        if whole:
-            texts = pa.array(["" if i in whole else t for i, t in enumerate(plain)], pa.string())
+        runs = {i: t for i, t in enumerate(plain) if i not in whole and _RUN.search(t)}
+        if whole or runs:
+            texts = pa.array(["" if i in whole or i in runs else t for i, t in enumerate(plain)], pa.string())
         parts = pc.split_pattern(texts, " ")
         start = parts.offsets.to_numpy()[:-1]
         coded = parts.flatten().dictionary_encode()
@@ -158,8 +187,9 @@ class Encoder:
         seen[number[used]] = True
         inner = np.flatnonzero(seen)
         heads = self.lookup([distinct[i] for i in number[start].tolist()], False, table)
-        for i, v in zip(whole, self.ask(list(whole.values()))):
-            heads[i] = v
+        for some, values in ((whole, self.ask(list(whole.values()))), (runs, self._with_runs(list(runs.values()), table))):
+            for i, v in zip(some, values):
+                heads[i] = v
         place = np.zeros(len(distinct), np.int64)
         place[inner] = np.arange(len(inner))
         number = place[number]

@@ -9,8 +9,9 @@ which the table is made. The table decides how fast a count is, never what it is
 Pieces are what stands between single spaces, a whole number of the library's own pre-tokens.
 ``.model`` files go through sentencepiece, whole texts at a time and without a table.
 
-Defined cases: null text is empty and has no tokens; repeated rows are counted one by one; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: null text is empty and has no tokens; repeated rows are counted one by one; very long
+texts, of many lines or one, are counted whole, in time that grows with their length; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

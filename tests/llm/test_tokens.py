@@ -69,6 +69,30 @@ def test_caches_age_without_harm(lib):
         assert own.counts(pa.array([t]))[0] == len(lib.encode(t, add_special_tokens=False).ids)
 
 
+def test_texts_of_many_lines(lib):
+    import pyarrow as pa
+
+    texts = ["\n".join(f"line{i}" for i in range(100_000)), "\n".join("日本語テ" for _ in range(30_000)), "x\n\ny" * 2000, "a  b\tc \n d" * 3000, "no end\n", "\nstart"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe.Encoder(tokenizer("byte_bpe_50k.json"), count=True).counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    ids, sizes = bpe.Encoder(tokenizer("byte_bpe_50k.json")).encode(pa.array(texts))
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_random_texts_equal_the_library(lib):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    parts = ["a", "word", "The", " ", "  ", "\n", "\n\n", ".", ",", "'s", "'", "23", "é", "日本", "\t", "\x1c", "\u00a0", "\r", "-", "x.", "\x85", "<|endoftext|>", "\u3000"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(4000)]
+    ids, sizes = bpe.Encoder(tokenizer("byte_bpe_50k.json")).encode(pa.array(texts), 2)
+    ends = np.cumsum(sizes).tolist()
+    for t, a, b in zip(texts, [0, *ends], ends):
+        assert ids[a:b].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def brute(own, text):
     """The best sum of scores over all segmentations."""
     usable = {p: s for p, s, k in zip(own.pieces, own.scores, own.kinds) if k in (pieces.NORMAL, pieces.USER)}
