@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .memory import Cache, of_worker
+
 #: White space, then a space, then white space or the end.
 _RUN = re.compile(r"\s (?:\s|$)")
 #: A line break that the splitting pattern always parts from its neighbours, and such a space.
@@ -31,21 +33,8 @@ LONGEST_KEPT, ASKED = 64, 1 << 20
 #: in order, for the letters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
-_LOADED: dict[str, "Encoder"] = {}
-
-
-class Cache(dict):
-    """Two generations: when the young one is full it becomes the old one, so memory is bounded and
-    what is in use stays."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def age(self) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+#: Bytes that pieces with and without a space before them may take in a worker, each.
+KEPT = 32 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -66,7 +55,7 @@ class Encoder:
     stop or comma at the end.
     """
 
-    def __init__(self, path: str, count: bool = False, dtype: str = "<u4", most: int = 500_000):
+    def __init__(self, path: str, count: bool = False, dtype: str = "<u4", most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,9 +65,8 @@ class Encoder:
         before = form["pre_tokenizer"] or {}
         # Only of this form is it known that single spaces part pieces.
         self.parts = not form["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not form["truncation"] and not form["padding"]
-        self.count, self.dtype, self.most = count, np.dtype(dtype), most
-        self.young: dict[bool, dict] = {False: {}, True: {}}  # by whether a space stands before
-        self.old: dict[bool, dict] = {False: {}, True: {}}
+        self.count, self.dtype = count, np.dtype(dtype)
+        self.kept = {space: Cache(most) for space in (False, True)}  # by whether one stands before
 
     def in_pieces(self, text: str) -> bool:
         return self.parts and not any(s in text for s in self.special)
@@ -124,15 +112,15 @@ class Encoder:
 
     def lookup(self, pieces: list[str], space: bool, table: dict | None = None) -> list:
         """The value of each piece."""
-        values = list(map(self.young[space].get, pieces))
+        values = list(map(self.kept[space].get, pieces))
         if None in values:
             found = self._learn(dict.fromkeys(p for p, v in zip(pieces, values) if v is None), space, table)
             values = [found[p] if v is None else v for p, v in zip(pieces, values)]
         return values
 
     def _learn(self, pieces: dict[str, None], space: bool, table: dict | None) -> dict:
-        """The values of distinct pieces that the young generation lacks."""
-        old, lead, found = self.old[space], " " if space else "", {}
+        """The values of distinct pieces that the cache's young generation lacks."""
+        old, lead, found = self.kept[space].old, " " if space else "", {}
         words, plain, parted = [], [], []
         for p in pieces:
             if p in old:
@@ -161,13 +149,15 @@ class Encoder:
                     found[p] = head + sum(own) + (mark * len(own) if between else 0)
                 else:
                     found[p] = (mark if between else b"").join([head, *own])
-        self.young[space].update(found if len(max(found, key=len, default="")) <= LONGEST_KEPT else {p: v for p, v in found.items() if len(p) <= LONGEST_KEPT})
+        kept = self.kept[space]
+        for p, v in found.items():
+            if len(p) <= LONGEST_KEPT:
+                kept.put(p, v, len(p) + (0 if self.count else len(v)))
         return found
 
     def _age(self) -> None:
-        for space, young in self.young.items():
-            if len(young) > self.most:
-                self.old[space], self.young[space] = young, {}
+        for kept in self.kept.values():
+            kept.age()
 
     def _numbered(self, texts: pa.Array, table: dict | None) -> tuple[np.ndarray, np.ndarray, list]:
         """Of each piece its place in the list of values; where each text's pieces begin; the values."""
@@ -224,11 +214,10 @@ class Encoder:
 
 def encoder(path: str, count: bool = False, dtype: str = "<u4") -> Encoder:
     """One encoder a worker, file and use (caches of different values stay apart)."""
-    key = f"{count} {dtype} {path}"
-    if key not in _LOADED:
-        _LOADED[key] = Encoder(path, count, dtype)
-    return _LOADED[key]
+    return of_worker("token counts" if count else "token files", f"{dtype} {path}", lambda: Encoder(path, count, dtype))
 
 
 def vocabulary_size(path: str) -> int:
-    return encoder(path).lib.get_vocab_size()
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()

@@ -5,8 +5,8 @@ the short ones are merged by a heap, and what occurs often enough there is looke
 ones by binary search; documents that reach the required overlap T are kept. Around it, exactly:
 
 1. A shingle that no other document has can't be part of an overlap. Map tasks send the distinct
-   32-bit hashes of a chunk of documents, packed by hash bucket; reducers answer which of them other
-   chunks have too. Documents with less than three quarters of their shingles shared are done.
+   hashes of a chunk of documents, packed by hash bucket; reducers answer which of them other chunks
+   have too, a bucket at a time. Documents with less than three quarters of their shingles shared are done.
 2. The others are grouped by equal sets; one node a set goes on. Step 1 is repeated among nodes,
    now with the number of nodes that have a shingle.
 3. Two linked nodes share one of the rarest quarter of their shingles. Nodes that do are tied
@@ -22,8 +22,8 @@ ones by binary search; documents that reach the required overlap T are kept. Aro
 Within a block, lists hold clusters of linked nodes rather than nodes: a cluster whose shingles
 together don't reach T holds no partner; otherwise its members are compared until one links.
 
-Hashes of shingles have 64 bits; of buckets in step 1, 32 more within the bucket (a clash there
-makes step 1 keep more, never less).
+Hashes of shingles have 64 bits; in step 1, 48 beside the bucket's (a clash there makes step 1 keep
+more, never less).
 
 Defined cases: null or empty text, or text without words, has an empty set and is linked with
 nothing; of fewer words than ``N`` the whole sequence is the one shingle; repeated texts are one
@@ -48,9 +48,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import Cache
 from .common import cut, shuffle_partitions, stored
 from .graph import components
+from .memory import Cache, of_worker, release
 
 N = 5
 THRESHOLD = Fraction(3, 4)
@@ -61,18 +61,17 @@ BLOCK, CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 512, 1_500_000, 60_000, 16
 #: Fixed value: the factor of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 _SEVERAL = 0xFFFF
+BUCKET_BYTES = 1 << 20
+#: Bytes that the hashes of words may take in a worker; longer words are hashed each time.
+KEPT, LONGEST_KEPT = 32 << 20, 64
 
 
 class _Words(Cache):
     def __missing__(self, word: bytes) -> int:
         if word in self.old:
-            value = self[word] = self.old[word]
-            return value
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return value
-
-
-_WORDS = _Words(400_000)
+            return self.put(word, self.old[word], len(word))
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return self.put(word, value, len(word)) if len(word) <= LONGEST_KEPT else value
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
@@ -81,8 +80,9 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     Splitting bytes parts at ASCII white space and lowering them changes A-Z only, as wanted.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    coded = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words)).view(np.uint64)
-    _WORDS.age()
+    known = of_worker("n-gram join", "words", lambda: _Words(KEPT))
+    coded = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    known.age()
     if not len(coded):
         return coded
     size = min(n, len(coded))
@@ -109,61 +109,84 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(chunk: int, sets: list[np.ndarray], n_buckets: int, meta: bytes) -> Iterator[pa.RecordBatch]:
-    """A row a bucket, and one with what the chunk needs again."""
+def _packed(chunk: int, sets: list[np.ndarray], n_buckets: int, meta: bytes, by_owner: bool) -> Iterator[pa.RecordBatch]:
+    """A row a bucket, and one with what the chunk needs again. about: of each hash the one document
+    that has it or ``_SEVERAL``, or in how many it is."""
     every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
     unique, start, count = np.unique(every[order], return_index=True, return_counts=True)
-    one = np.where(count == 1, owner[order][start], _SEVERAL).astype(np.uint16)
-    count = np.minimum(count, 65535).astype(np.uint16)
-    low = unique.astype(np.uint32)
+    about = np.where(count == 1, owner[order][start], _SEVERAL).astype(np.uint16) if by_owner else np.minimum(count, 65535).astype(np.uint16)
+    low, middle = unique.astype(np.uint32), (unique >> np.uint64(32)).astype(np.uint16)
     at = np.searchsorted(_buckets(unique, n_buckets), np.arange(n_buckets + 1))
     full = np.flatnonzero(np.diff(at))
-    cells = lambda a: [a[at[i] : at[i + 1]].tobytes() for i in full]
-    yield _rows(full.tolist() + [chunk % n_buckets], chunk, cells(low) + [b""], cells(one) + [b""], cells(count) + [b""], [b""] * len(full) + [meta])
+    yield pa.RecordBatch.from_arrays([pa.array([chunk % n_buckets], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([b""], pa.binary())] * 3, pa.array([meta], pa.binary())], _PACKED_NAMES)
+    for i in range(0, len(full), 256):
+        some = full[i : i + 256].tolist()
+        cells = [pa.array([x[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()) for x in (low, middle, about)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), *cells, pa.array([b""] * len(some), pa.binary())], _PACKED_NAMES)
+
 
+_PACKED = "bucket int, chunk long, low binary, middle binary, about binary, meta binary"
+_PACKED_NAMES = ["bucket", "chunk", "low", "middle", "about", "meta"]
+_ANSWER = "chunk long, bucket int, answer binary, meta binary"
 
-def _rows(buckets: list, chunk, low: list, owner: list, count: list, meta: list) -> pa.RecordBatch:
-    n = len(buckets)
-    chunks = [chunk] * n if isinstance(chunk, int) else chunk
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(chunks, pa.int64()), pa.array(low, pa.binary()), pa.array(owner, pa.binary()), pa.array(count, pa.binary()), pa.array(meta, pa.binary())], ["bucket", "chunk", "low", "owner", "count", "meta"])
 
+def _answer_rows(chunks: list[int], bucket: int, answers: list[bytes], meta: bytes = b"") -> pa.RecordBatch:
+    n = len(chunks)
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * n, pa.int32()), pa.array(answers, pa.binary()), pa.array([meta] * n, pa.binary())], ["chunk", "bucket", "answer", "meta"])
 
-_PACKED = "bucket int, chunk long, low binary, owner binary, count binary, meta binary"
 
+def _splits(docs: DataFrame, parts: int) -> int:
+    """Buckets a partition, so that one has about ``BUCKET_BYTES`` of stored text, by the optimizer's
+    estimate of the table's size. The number decides memory and speed only."""
+    stored_bytes = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(4, min(256, stored_bytes // parts // BUCKET_BYTES))
 
-def _answers(exchanged: DataFrame, n_buckets: int, by_owner: bool) -> DataFrame:
+
+def _answers(exchanged: DataFrame, parts: int, splits: int, by_owner: bool) -> DataFrame:
     """chunk, bucket, answer, meta. by_owner: how many shared shingles each document has; else the
-    class of each shingle's frequency, in the order sent."""
+    class of each shingle's frequency, in the order sent. A task sees its buckets one by one, so it
+    holds one at a time."""
+
+    def answer(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate([r[1] for r in rows])
+        about = np.concatenate([r[2] for r in rows])
+        _, which = np.unique(every, return_inverse=True)
+        weight = np.where(about == _SEVERAL, 2, 1) if by_owner else about
+        total = np.bincount(which, weight).astype(np.int64)[which]
+        at = 0
+        out = []
+        for _, low, _ in rows:
+            own, owner = total[at : at + len(low)], about[at : at + len(low)]
+            at += len(low)
+            if by_owner:
+                ids, n = np.unique(owner[(own > 1) & (owner != _SEVERAL)], return_counts=True)
+                out.append(np.stack([ids, n]).astype(np.uint32).tobytes())
+            else:
+                out.append(_frequency_class(own).tobytes())
+        for i in range(0, len(rows), 500):
+            yield _answer_rows([r[0] for r in rows[i : i + 500]], bucket, out[i : i + 500])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = defaultdict(list)
+        bucket, held = -1, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["low"]:
-                    held[r["bucket"]].append((r["chunk"], np.frombuffer(r["low"], np.uint32), np.frombuffer(r["owner"], np.uint16), np.frombuffer(r["count"], np.uint16)))
-                else:
-                    yield pa.RecordBatch.from_pydict({"chunk": [r["chunk"]], "bucket": pa.array([-1], pa.int32()), "answer": pa.array([b""], pa.binary()), "meta": pa.array([r["meta"]], pa.binary())})
-        for bucket, rows in held.items():
-            every = np.concatenate([x[1] for x in rows])
-            _, which = np.unique(every, return_inverse=True)
-            total = np.bincount(which, np.concatenate([x[3] for x in rows]).astype(np.int64))[which].astype(np.int64)
-            at = 0
-            answers = []
-            for _, low, owner, _ in rows:
-                own = total[at : at + len(low)]
-                at += len(low)
-                if by_owner:
-                    ids, n = np.unique(owner[(own > 1) & (owner != _SEVERAL)], return_counts=True)
-                    answers.append(np.stack([ids, n]).astype(np.uint32).tobytes())
-                else:
-                    answers.append(_frequency_class(own).tobytes())
-            for i in range(0, len(rows), 500):
-                some = rows[i : i + 500]
-                yield pa.RecordBatch.from_pydict({"chunk": [x[0] for x in some], "bucket": pa.array([bucket] * len(some), pa.int32()), "answer": pa.array(answers[i : i + 500], pa.binary()), "meta": pa.array([b""] * len(some), pa.binary())})
-
-    return exchanged.repartitionById(n_buckets, F.col("bucket")).mapInArrow(reduce, "chunk long, bucket int, answer binary, meta binary")
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    if not r["low"]:
+                        yield _answer_rows([r["chunk"]], -1, [b""], r["meta"])
+                        continue
+                    if r["bucket"] != bucket and held:
+                        yield from answer(bucket, held)
+                        held = []
+                    bucket = r["bucket"]
+                    hashes = np.frombuffer(r["low"], np.uint32) | np.frombuffer(r["middle"], np.uint16).astype(np.uint64) << np.uint64(32)
+                    held.append((r["chunk"], hashes, np.frombuffer(r["about"], np.uint16)))
+        if held:
+            yield from answer(bucket, held)
+        release()
+
+    return exchanged.repartitionById(parts, F.floor(F.col("bucket") / splits).cast("int")).sortWithinPartitions("bucket", "chunk").mapInArrow(reduce, _ANSWER)
 
 
 def _frequency_class(n: np.ndarray) -> np.ndarray:
@@ -172,21 +195,25 @@ def _frequency_class(n: np.ndarray) -> np.ndarray:
 
 
 def _gathered(answers: DataFrame, of_chunk, schema: str) -> DataFrame:
-    """``of_chunk(meta, {bucket: answer})`` of every chunk."""
+    """``of_chunk(meta, {bucket: answer})`` of every chunk, one at a time."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int, bytes]] = defaultdict(dict)
-        metas: dict[int, bytes] = {}
+        chunk, meta, held = None, b"", {}
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] < 0:
-                    metas[r["chunk"]] = r["meta"]
-                else:
-                    held[r["chunk"]][r["bucket"]] = r["answer"]
-        for chunk, meta in metas.items():
-            yield from of_chunk(meta, held.pop(chunk, {}))
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    if r["bucket"] >= 0:
+                        held[r["bucket"]] = r["answer"]
+                        continue
+                    # A chunk's first row is the one with what it sent along.
+                    if chunk is not None:
+                        yield from of_chunk(meta, held)
+                    chunk, meta, held = r["chunk"], r["meta"], {}
+        if chunk is not None:
+            yield from of_chunk(meta, held)
+        release()
 
-    return answers.repartition("chunk").mapInArrow(gather, schema)
+    return answers.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(gather, schema)
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -220,7 +247,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], set_of, row_of) -> Iterator[tuple
 
 def describe(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and whether enough shingles occur elsewhere."""
-    n_buckets = shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
+    splits = _splits(docs, parts)
+    n_buckets = parts * splits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = lambda r, s: (r["doc_id"], len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -231,7 +260,8 @@ def describe(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Da
             every = np.concatenate(sets)
             _, which, count = np.unique(every, return_inverse=True, return_counts=True)
             within = np.bincount(np.repeat(np.arange(len(sets)), sizes), (count > 1)[which] if len(which) else None, len(sets)).astype("<i8")
-            yield from _packed(chunk, sets, n_buckets, _blob(ids, null, sizes, within, np.frombuffer(b"".join(r[2] for r in rows), "u1")))
+            yield from _packed(chunk, sets, n_buckets, _blob(ids, null, sizes, within, np.frombuffer(b"".join(r[2] for r in rows), "u1")), True)
+        release()
 
     def of_chunk(meta: bytes, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids, null, sizes, shared, digests = _unblob(meta, "<i8", "?", "<i8", "<i8", "u1")
@@ -243,19 +273,22 @@ def describe(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Da
         near = (sizes > 0) & (shared * threshold.denominator >= sizes * threshold.numerator)
         yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(sizes), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(near)], ["doc_id", "n_shingles", "digest", "near"])
 
-    answers = _answers(docs.select("doc_id", "text").mapInArrow(spread, _PACKED), n_buckets, True)
+    answers = _answers(docs.select("doc_id", "text").mapInArrow(spread, _PACKED), parts, splits, True)
     return _gathered(answers, of_chunk, "doc_id long, n_shingles long, digest binary, near boolean")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """node, size and the shared shingles of the nodes' sets, rarest first, as packed 64-bit integers;
     nodes with too few shared ones are left out."""
-    n_buckets = shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
+    splits = _splits(docs, parts)
+    n_buckets = parts * splits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows, sets in _chunks(batches, lambda r: shingles(r["text"], n), lambda r, s: (r["doc_id"], len(s))):
             ids, sizes = np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<i8")
-            yield from _packed(chunk, sets, n_buckets, _blob(ids, sizes, np.concatenate(sets)))
+            yield from _packed(chunk, sets, n_buckets, _blob(ids, sizes, np.concatenate(sets)), False)
+        release()
 
     def of_chunk(meta: bytes, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids, sizes, every = _unblob(meta, "<i8", "<i8", "<u8")
@@ -276,7 +309,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> D
 
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     # The exchange below asks for a chunk's rows again only as packed, never from this join.
-    return _gathered(_answers(texts.mapInArrow(spread, _PACKED), n_buckets, False), of_chunk, "node long, size long, shared binary")
+    return _gathered(_answers(texts.mapInArrow(spread, _PACKED), parts, splits, False), of_chunk, "node long, size long, shared binary")
 
 
 # Step 4: T-occurrence search

@@ -30,13 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import Cache, slices
+from .bpe import slices
+from .memory import Cache, of_worker
 
 MARKER = "▁"
 #: Kinds of pieces in a model file, and the penalty of unknown characters.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
-LONGEST_KEPT, MOST_KEPT = 48, 300_000
+LONGEST_KEPT = 48
+#: Bytes that the ids of chunks may take in a worker.
+KEPT = 64 << 20
 _CHUNK, _CHUNK_OF_LINE = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
@@ -159,7 +162,7 @@ class Processor:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]
-        self.kept = Cache(MOST_KEPT)
+        self.kept = Cache(KEPT)
 
     def viterbi(self, text: str) -> list[int]:
         """The ids of the best segmentation; of equal ones, that whose last piece starts first."""
@@ -204,15 +207,15 @@ class Processor:
             end = start
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> np.ndarray:
-        """The ids of a chunk with its spaces."""
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk with its spaces, as 32-bit integers."""
         found = self.kept.get(chunk)
         if found is None:
             found = self.kept.old.get(chunk)
             if found is None:
-                found = np.array(self.viterbi(chunk.replace(" ", MARKER)), np.int32)
+                found = np.array(self.viterbi(chunk.replace(" ", MARKER)), np.int32).tobytes()
             if len(chunk) <= LONGEST_KEPT:
-                self.kept[chunk] = found
+                self.kept.put(chunk, found, len(chunk) + len(found))
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -227,7 +230,7 @@ class Processor:
         known = self.kept.get
         found = [x if x is not None else self._chunk(c) for c, x in zip(chunks, map(known, chunks))]
         self.kept.age()
-        return np.concatenate(found)
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -237,14 +240,9 @@ class Processor:
         return text.replace(MARKER, " ")
 
 
-_LOADED: dict[str, Processor] = {}
-
-
 def processor(path: str) -> Processor:
     """One a worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Processor(Model.load(path))
-    return _LOADED[path]
+    return of_worker("pieces", path, lambda: Processor(Model.load(path)))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

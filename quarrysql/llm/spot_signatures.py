@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import Cache
 from .common import cut, stored
 from .graph import components
+from .memory import Cache, of_worker
 from .ngram_join import find_links
 from .ordering import Ranges
 
@@ -42,7 +42,8 @@ ANCHORS = frozenset(
 CHAIN = 2
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»“”‘’¿¡"
 _ANCHOR, _CONTENT, _NONE = 1, 2, 0
-_HASHES: dict[str, Cache] = {}
+#: Bytes that the hashes of words may take in a worker; longer words are hashed each time.
+KEPT, LONGEST_KEPT = 32 << 20, 64
 
 
 class _Words(Cache):
@@ -51,13 +52,12 @@ class _Words(Cache):
 
     def __missing__(self, word: str) -> int:
         if word in self.old:
-            value = self[word] = self.old[word]
-            return value
+            return self.put(word, self.old[word], 2 * len(word))
         plain = word.lower().strip(_STRIP)
         kind = _NONE if not plain else _ANCHOR if plain in ANCHORS else _CONTENT
         value = int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        value = self[word] = (value & ~3) | kind
-        return value
+        value = (value & ~3) | kind
+        return self.put(word, value, 2 * len(word)) if len(word) <= LONGEST_KEPT else value
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def signatures(text: str | None) -> np.ndarray:
     """The sorted distinct signatures of a text, as unsigned 32-bit integers."""
     words = (text or "").split()
-    cache = _HASHES.setdefault("words", _Words(400_000))
+    cache = of_worker("spot signatures", "words", lambda: _Words(KEPT))
     coded = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
     cache.age()
     kinds = coded & 3

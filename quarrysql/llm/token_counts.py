@@ -16,6 +16,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder, slices
+from .memory import of_worker
 
 LIMIT = 1024
 TABLE = 1 << 15
 SHARE = 2e-5
-_TABLES: dict[str, dict[str, int]] = {}
-_MODELS: dict[str, object] = {}
 
 
 def heavy(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
@@ -82,7 +82,8 @@ def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "do
     if pieces:
         # At most TABLE rows, whatever the corpus holds.
         top = heavy(docs, tokenizer).orderBy(F.desc("count"), "piece").limit(TABLE).select("piece").collect()
-        shared = spark.sparkContext.broadcast(pack([r["piece"] for r in top], tokenizer))
+        packed = pack([r["piece"] for r in top], tokenizer)
+        shared, mark = spark.sparkContext.broadcast(packed), zlib.crc32(packed[0])
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +91,7 @@ def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "do
                 texts = pc.fill_null(some.column("text"), "")
                 if pieces:
                     own = encoder(tokenizer, count=True)
-                    table = _TABLES.get(tokenizer) or _TABLES.setdefault(tokenizer, unpack(shared.value))
+                    table = of_worker("token counts", f"table {tokenizer} {mark}", lambda: unpack(shared.value))
                     found = own.counts(texts, table)
                 else:
                     found = np.array(list(map(len, _model(tokenizer).encode(texts.to_pylist(), num_threads=1))), np.int64)
@@ -101,11 +102,9 @@ def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "do
 
 
 def _model(path: str):
-    if path not in _MODELS:
-        from sentencepiece import SentencePieceProcessor
+    from sentencepiece import SentencePieceProcessor
 
-        _MODELS[path] = SentencePieceProcessor(model_file=path)
-    return _MODELS[path]
+    return of_worker("token counts", path, lambda: SentencePieceProcessor(model_file=path))
 
 
 def query(docs: DataFrame, tokenizer: str) -> DataFrame:
