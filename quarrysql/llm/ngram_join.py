@@ -12,11 +12,12 @@ ones by binary search; documents that reach the required overlap T are kept. Aro
 3. Two linked nodes share one of the rarest quarter of their shingles. Nodes that do are tied
    together (a row a node and shingle, to the least node that has it), and the components of these
    ties are groups that no link leaves.
-4. Each group is searched in blocks of at most ``BLOCK`` nodes. A group of one block is searched at
-   once. In a larger one every node is first compared with a few pivots; the nodes outside the
-   largest component that gives are then queries against all blocks of sizes within reach, so a
-   dense group costs a pass and not the square of its size. (Where a large group stays in many
-   components, its queries do meet all of its blocks; nothing is dropped to avoid that.)
+4. Each group is searched in blocks of about ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles, which are
+   numbered over all groups and dealt to tasks in turn. A group of one block is searched at once. In a
+   larger one every node is first compared with a few pivots; the nodes outside the largest component
+   that gives are then queries against all blocks of their own and the neighbouring partitions of
+   lengths, so a dense group costs a pass and not the square of its size. (Where a large group stays in
+   many components, its queries do meet all of those blocks; nothing is dropped to avoid that.)
 5. The links' components, by alternating stars, give each document's component.
 
 Within a block, lists hold clusters of linked nodes rather than nodes: a cluster whose shingles
@@ -29,15 +30,15 @@ Defined cases: null or empty text, or text without words, has an empty set and i
 nothing; of fewer words than ``N`` the whole sequence is the one shingle; repeated texts are one
 node; a row with a null id gets the component of a document with the same set, else null, and can't
 name a component; rows that share an id but no text are judged each by its text, and what one of
-them links may count for the other; an empty table gives an empty result; other columns are ignored. A text's own shingles must fit in
-memory. Tables are read more than once, so ``docs`` should be a stored table.
+them links may count for the other; an empty table gives an empty result; other columns are ignored.
+Very long texts are taken whole: a text's own shingles must fit in a task's memory, some 30 bytes each.
+Tables are read more than once, so ``docs`` should be a stored table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from itertools import groupby
@@ -46,7 +47,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, shuffle_partitions, stored
 from .graph import components
@@ -54,10 +55,10 @@ from .memory import Cache, of_worker, release
 
 N = 5
 THRESHOLD = Fraction(3, 4)
-#: Most nodes of a block, shingles and documents of a chunk, pivots of a large group, and about as many
-#: queries as a block gets at once.
-ASKING = 1024
-BLOCK, CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 512, 1_500_000, 60_000, 16
+#: About the most nodes and shingles of a block and queries that it gets at once, shingles and
+#: documents of a chunk, and pivots of a large group. They bound what a task holds, nothing else.
+BLOCK, BLOCK_SHINGLES, ASKING = 256, 500_000, 512
+CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 800_000, 60_000, 16
 #: Fixed value: the factor of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 _SEVERAL = 0xFFFF
@@ -246,35 +247,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], set_of, row_of) -> Iterator[tuple
 
 
 def describe(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and whether enough shingles occur elsewhere."""
+    """doc_id, mark, n_shingles, digest of the set, and whether enough shingles occur elsewhere, of
+    every row of ``docs`` (doc_id, text, mark)."""
     parts = shuffle_partitions(docs.sparkSession)
     splits = _splits(docs, parts)
     n_buckets = parts * splits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = lambda r, s: (r["doc_id"], len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        row = lambda r, s: (r["doc_id"], len(s), r["mark"], hashlib.blake2b(s.tobytes(), digest_size=16).digest())
         for chunk, rows, sets in _chunks(batches, lambda r: shingles(r["text"], n), row):
             ids = np.array([r[0] or 0 for r in rows], "<i8")
             null = np.array([r[0] is None for r in rows], "?")
-            sizes = np.array([r[1] for r in rows], "<i8")
+            sizes, marks = np.array([r[1] for r in rows], "<i8"), np.array([r[2] for r in rows], "<i8")
             every = np.concatenate(sets)
             _, which, count = np.unique(every, return_inverse=True, return_counts=True)
             within = np.bincount(np.repeat(np.arange(len(sets)), sizes), (count > 1)[which] if len(which) else None, len(sets)).astype("<i8")
-            yield from _packed(chunk, sets, n_buckets, _blob(ids, null, sizes, within, np.frombuffer(b"".join(r[2] for r in rows), "u1")), True)
+            yield from _packed(chunk, sets, n_buckets, _blob(ids, null, marks, sizes, within, np.frombuffer(b"".join(r[3] for r in rows), "u1")), True)
         release()
 
     def of_chunk(meta: bytes, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        ids, null, sizes, shared, digests = _unblob(meta, "<i8", "?", "<i8", "<i8", "u1")
+        ids, null, marks, sizes, shared, digests = _unblob(meta, "<i8", "?", "<i8", "<i8", "<i8", "u1")
         shared = shared.copy()
         for a in answers.values():
             owner, count = np.frombuffer(a, np.uint32).reshape(2, -1)
             shared[owner] += count
         raw = digests.tobytes()
         near = (sizes > 0) & (shared * threshold.denominator >= sizes * threshold.numerator)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(sizes), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(near)], ["doc_id", "n_shingles", "digest", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(marks), pa.array(sizes), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(near)], ["doc_id", "mark", "n_shingles", "digest", "near"])
 
-    answers = _answers(docs.select("doc_id", "text").mapInArrow(spread, _PACKED), parts, splits, True)
-    return _gathered(answers, of_chunk, "doc_id long, n_shingles long, digest binary, near boolean")
+    answers = _answers(docs.select("doc_id", "text", "mark").mapInArrow(spread, _PACKED), parts, splits, True)
+    return _gathered(answers, of_chunk, "doc_id long, mark long, n_shingles long, digest binary, near boolean")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -315,6 +317,13 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> D
 # Step 4: T-occurrence search
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two arrays of distinct elements share."""
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 class Index:
     """Inverted lists over clusters of linked nodes, with DivideSkip search."""
 
@@ -352,18 +361,13 @@ class Index:
                 out.append(c)
         return out
 
-    def partners(self, node: tuple, skip: set[int] = frozenset()) -> Iterator[tuple[int, tuple]]:
-        """One linked member of each cluster that has any: (cluster, member). node: id, size, its
-        shared shingles, as a list and as a set."""
-        reach: Counter = Counter()
-        for c in self.search(node[2], least_overlap(node[1], self.threshold)):
-            reach[self.find(c)] += 1
-        for c in reach:
-            if c in skip:
-                continue
+    def partners(self, node: tuple) -> Iterator[tuple[int, tuple]]:
+        """One linked member of each cluster that has any: (cluster, member). node: id, size, and the
+        hashes of its shared shingles as an array without order."""
+        for c in dict.fromkeys(map(self.find, self.search(node[2].tolist(), least_overlap(node[1], self.threshold)))):
             own = self.members[c]
             for i, other in enumerate(own):
-                if other[0] != node[0] and other[1] * self.threshold <= node[1] and node[1] * self.threshold <= other[1] and links(len(node[3] & other[3]), node[1], other[1], self.threshold):
+                if other[0] != node[0] and other[1] * self.threshold <= node[1] and node[1] * self.threshold <= other[1] and links(overlap(node[2], other[2]), node[1], other[1], self.threshold):
                     if i:  # who links often is asked first
                         own[i], own[i // 2] = own[i // 2], own[i]
                     yield c, other
@@ -383,7 +387,7 @@ class Index:
             home = len(self.parent)
             self.parent.append(home)
             self.members.append([node])
-        for s in node[2]:
+        for s in node[2].tolist():
             x = self.lists.setdefault(s, [])
             at = _bisect(x, home)
             if at == len(x) or x[at] != home:
@@ -401,14 +405,10 @@ def _bisect(x: list[int], c: int) -> int:
     return low
 
 
-def _node(r: dict) -> tuple:
-    shared = np.frombuffer(r["shared"], "<u8").tolist()
-    return r["node"], r["size"], shared, frozenset(shared)
-
-
 def _search_blocks(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """a, b: enough links for the components. rows: block, kind (0: indexed and asking what is already
-    there; 1: asking the block's whole index), node, size, shared."""
+    """a, b: enough links for the components. rows: block (a number; blocks are dealt to tasks in turn),
+    kind (0: indexed and asking what is already there; 1: asking the block's whole index), node, size,
+    shared."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, index, held = None, None, []
@@ -417,7 +417,7 @@ def _search_blocks(rows: DataFrame, threshold: Fraction) -> DataFrame:
                 for r in batch.slice(at, 256).to_pylist():
                     if r["block"] != block:
                         block, index = r["block"], Index(threshold)
-                    node = _node(r)
+                    node = (r["node"], r["size"], np.frombuffer(r["shared"], "<u8"))
                     found = list(index.partners(node))
                     held += [(node[0], other[0]) for _, other in found]
                     if r["kind"] == 0:
@@ -425,8 +425,23 @@ def _search_blocks(rows: DataFrame, threshold: Fraction) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64())], ["a", "b"])
                     held = []
+        release()
+
+    parts = shuffle_partitions(rows.sparkSession)
+    dealt = rows.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", "kind", "size", "node")
+    return dealt.select("block", "kind", "node", "size", "shared").mapInArrow(search, "a long, b long")
+
 
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "size", "node").mapInArrow(search, "a long, b long")
+def numbered(groups: DataFrame, key: str, blocks: str) -> DataFrame:
+    """``groups`` with ``base``: how many blocks all groups before it have. A prefix sum in two steps;
+    the driver holds a number a partition."""
+    parts = shuffle_partitions(groups.sparkSession)
+    placed = cut(groups.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
+    sums = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.sum(blocks).alias("n")).collect()}
+    before = np.cumsum([0, *(sums.get(i, 0) for i in range(parts))]).tolist()
+    within = F.sum(blocks).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before[:parts]]), F.col("_part") + 1)
+    return placed.withColumn("base", start + F.coalesce(within, F.lit(0))).drop("_part")
 
 
 def length_bounds(threshold: Fraction, top: int = 1 << 40) -> np.ndarray:
@@ -466,59 +481,116 @@ def prefix_ties(sets: DataFrame, threshold: Fraction, by_length: bool = False) -
 def find_links(sets: DataFrame, threshold: Fraction, block: int = BLOCK, by_length: bool = False) -> DataFrame:
     """a, b: links whose components are those of all links between the sets."""
     groups = stored(components(prefix_ties(sets, threshold, by_length)), "groups")
-    sizes = cut(groups.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("members")))
+    member = cut(sets.join(groups, "node").select("node", "label", "size", F.octet_length("shared").alias("bytes")))
+    sizes = member.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("members"), (F.sum("bytes") / 8).alias("shingles"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / BLOCK_SHINGLES)))
+    sizes = cut(numbered(sizes, "_label", "blocks"))
     member = sets.join(groups, "node").join(sizes, F.col("label") == F.col("_label"))
-    small = member.where(F.col("members") <= block).select(F.xxhash64("label").alias("block"), F.lit(0).alias("kind"), "node", "size", "shared")
+    small = member.where("blocks = 1").select(F.col("base").alias("block"), F.lit(0).alias("kind"), "node", "size", "shared")
     found = _search_blocks(small, threshold)
-    if sizes.where(F.col("members") > block).isEmpty():
+    if sizes.where("blocks > 1").isEmpty():
         return found
-    large = cut(member.where(F.col("members") > block).withColumn("chunk", (F.abs(F.xxhash64("node")) % F.ceil(F.col("members") / block)).cast("int")).select("label", "members", "chunk", "node", "size", "shared"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    large = cut(member.where("blocks > 1").withColumn("chunk", chunk).select("label", "members", "blocks", "base", "chunk", "node", "size", "shared"))
     return found.union(_large(large, threshold, block))
 
 
 def _large(large: DataFrame, threshold: Fraction, block: int) -> DataFrame:
     """Links in groups of more than a block."""
-    number = lambda *c: F.xxhash64(*c).alias("block")
-    chunks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / block).cast("int") - 1))
     # The pivots: of each group about PIVOTS nodes, chosen by hash among all its nodes.
     pivot = large.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("members")) < PIVOTS)
-    first = pivot.withColumn("chunk", chunks).select(number("label", "chunk"), F.lit(0).alias("kind"), "node", "size", "shared")
-    first = first.union(large.select(number("label", "chunk"), F.lit(1).alias("kind"), "node", "size", "shared"))
+    first = pivot.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    first = first.select((F.col("base") + F.col("chunk")).alias("block"), F.lit(0).alias("kind"), "node", "size", "shared")
+    first = first.union(large.select((F.col("base") + F.col("chunk")).alias("block"), F.lit(1).alias("kind"), "node", "size", "shared"))
     known = stored(_search_blocks(first, threshold), "pivot-links")
     labels = stored(components(known), "pivot-clusters").withColumnRenamed("label", "cluster")
-    now = large.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("_n")
-    now = cut(now.select("label", "members", "chunk", "node", "size", "cluster", "shared"))
-    most = now.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("label").alias("_label"))
-    most = most.agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.greatest(F.lit(1), F.ceil((F.sum("n") - F.max("n")) / ASKING)).cast("int").alias("parts"))
-    now = now.join(most, F.col("label") == F.col("_label"))
-    # Where many ask, a block is searched in parts, each with its share of the queries: no task grows
-    # with its group.
-    indexed = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(number("label", "chunk", "part"), F.lit(0).alias("kind"), "node", "size", "shared")
-    # A link between two components has an end outside the main one: that end asks everywhere.
-    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
-    asking = now.where("cluster <> main").withColumn("part", part).withColumn("chunk", chunks).select(number("label", "chunk", "part"), F.lit(1).alias("kind"), "node", "size", "shared")
-    return known.union(_search_blocks(indexed.union(asking), threshold))
-
-
-def join(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    now = large.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    bounds = F.array(*[F.lit(int(x)) for x in length_bounds(threshold)])
+    now = cut(now.select("label", "node", "size", "cluster", F.size(F.filter(bounds, lambda x: x <= F.col("size"))).alias("length"), "shared"))
+    most = now.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("label").alias("_label")).agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
+    now = now.join(most, F.col("label") == F.col("_label")).withColumn("asks", F.col("cluster") != F.col("main")).drop("_label", "main", "cluster")
+    # A link between two components has an end outside the main one: that end asks all blocks of sets
+    # in its own and the neighbouring partitions of lengths. Where many ask, a block is searched in
+    # parts, each with its share of the queries: no task grows with its group.
+    own = now.groupBy("label", "length").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.octet_length("shared")) / 8).alias("shingles"), F.count_if("asks").alias("asking"))
+    near = own.select("label", F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length"), "asking")
+    near = near.groupBy("label", "length").agg(F.sum("asking").alias("asking"))
+    blocks = own.drop("asking").join(near, ["label", "length"]).where("asking > 0")
+    blocks = blocks.withColumn("chunks", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES))).withColumn("parts", F.ceil(F.col("asking") / ASKING))
+    blocks = blocks.select(F.struct("label", "length").alias("_of"), "chunks", "parts", (F.col("chunks") * F.col("parts")).alias("blocks"))
+    blocks = cut(numbered(blocks, "_of", "blocks"))
+    deal = lambda name, n: F.pmod(F.xxhash64("node", F.lit(name)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    number = (F.col("base") + F.col("chunk") * F.col("parts") + F.col("part")).alias("block")
+    indexed = now.join(blocks, F.struct("label", "length") == F.col("_of")).withColumn("chunk", deal("chunk", "chunks")).withColumn("part", every("parts"))
+    asking = now.where("asks").withColumn("_near", F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)))
+    asking = asking.join(blocks, F.struct("label", F.col("_near").alias("length")) == F.col("_of")).withColumn("part", deal("part", "parts")).withColumn("chunk", every("chunks"))
+    rows = [x.select(number, F.lit(kind).alias("kind"), "node", "size", "shared") for kind, x in enumerate((indexed, asking))]
+    return known.union(_search_blocks(rows[0].union(rows[1]), threshold))
+
+
+def _classes(docs: DataFrame, n: int, threshold: Fraction, block: int) -> DataFrame:
+    """doc_id, mark, n_shingles, digest, near and label of every row of ``docs`` (doc_id, text, mark).
+    label: the least doc_id that its text reaches; null for texts that have nothing in common with
+    others, and for those that only rows with null ids have."""
     known = stored(describe(docs, n, threshold), "shingle-sets")
-    nodes = known.where("near and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    nodes = known.where("near and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = stored(nodes.where("node is not null"), "shingle-nodes")
     sets = stored(sets_of(docs, nodes, n, threshold), "shingle-lists")
     labels = stored(components(find_links(sets, threshold, block)), "labels")
-    classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "node").alias("_label"))
-    rows = known.join(classes, (F.col("digest") == F.col("_digest")) & F.col("near"), "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("_label", "doc_id").alias("component_id"))
+    classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "node").alias("label"))
+    return known.join(classes, (F.col("digest") == F.col("_digest")) & F.col("near"), "left").drop("_digest")
+
+
+def join(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("mark"))
+    return _classes(docs, n, threshold, block).select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     return join(docs)
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the least id (all rows of that id); rows without a
-    component stay."""
-    joined = join(docs).where("component_id is not null and component_id < doc_id").select("doc_id").distinct()
-    return docs.join(joined, "doc_id", "left_anti").select(*docs.columns)
+def stage(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """One row of each component: that with the least id, of equal ids that with the least hash of its
+    text. Rows that only null ids have make classes of equal sets. Rows without shingles stay.
+
+    A row is known by its id and its text's 64-bit hash; equal ones are told apart by nothing, so one of
+    them stays. Only rows that equal another take part in that exchange."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"))
+    known = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")), n, threshold, block)
+    one = F.coalesce(F.col("label").cast("string"), F.hex("digest"))
+    rows = known.where("near and n_shingles > 0").groupBy(one.alias("one"), "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    first = rows.groupBy(F.col("one").alias("_one")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("first"))
+    rows = rows.join(first, F.col("one") == F.col("_one")).withColumn("stays", F.col("first") == F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark"))
+    # A document may stay for one class and go for another only if ids repeat; then its text decides.
+    verdict = cut(rows.where("not stays or rows > 1").select(F.col("doc_id").alias("_known"), F.col("mark").alias("_text"), "stays"))
+    at = F.col("_id").eqNullSafe(F.col("_known")) & F.col("_mark").eqNullSafe(F.col("_text"))
+    kept = own.join(verdict.drop("stays"), at, "left_anti")
+    again = verdict.where("stays").drop("stays")
+    if not again.isEmpty():
+        kept = kept.union(own.join(again, at, "left_semi").dropDuplicates(["_id", "_mark"]))
+    return kept.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def sql(docs: str = "documents") -> str:
+    """DuckDB SQL for ``query()``: all pairs of different sets that share a shingle, and least labels
+    along their links until none changes."""
+    return rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from {docs}),
+s as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < {N} then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) end)) as sh from d),
+k as (select *, md5(array_to_string(sh, chr(10))) as digest from s),
+n as (select digest, min(doc_id) as node, any_value(sh) as sh from k where len(sh) > 0 group by digest),
+p as (select node, len(sh) as size, unnest(sh) as shingle from n),
+l as (select a.node as x, b.node as y from p a join p b on a.shingle = b.shingle and a.node < b.node
+      and {THRESHOLD.denominator} * least(a.size, b.size) >= {THRESHOLD.numerator} * greatest(a.size, b.size)
+      group by a.node, b.node, a.size, b.size having 100 * count(*) >= 75 * (a.size + b.size - count(*))),
+e as (select x, y from l union all select y, x from l),
+r as (select node as start, node as reached from n union select r.start, e.y from r join e on r.reached = e.x),
+c as (select start, min(reached) as component_id from r group by start)
+select k.doc_id, cast(len(k.sh) as bigint) as n_shingles, coalesce(c.component_id, k.doc_id) as component_id
+from k left join n on n.digest = k.digest and len(k.sh) > 0 left join c on c.start = n.node"""

@@ -37,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL, where it can express the query.
 SQL: dict[str, str] = {
     "op4_warc": warc.sql(),
+    "op5_ngram_join": ngram_join.sql(),
     "op7_quality_rules": quality_rules.sql(),
     "op10_mixing": mixing.sql(),
 }
