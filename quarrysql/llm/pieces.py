@@ -8,13 +8,16 @@ and takes the first one away.
 
 Since no piece holds a marker after another character (which is checked), the best segmentation of a
 text is that of its chunks, each a run of spaces and what follows up to the next, so workers keep the
-ids of chunks in a bounded cache. Likewise a line break that no piece holds is a chunk of its own. Scores are added as 64-bit numbers within a chunk.
+ids of chunks in a bounded cache. Likewise a line break that no piece holds is a chunk of its own.
+Scores are added as 64-bit numbers within a chunk.
 
 Models without normalisation (``identity``) are supported; others are refused.
 
 Defined cases: null text is empty; empty text has no ids; a marker character in a text reads back as
-a space; lone surrogates are not text in Spark; repeated rows are encoded one by one; an empty table
-gives an empty result. ``encode()`` keeps the columns it is told to.
+a space; lone surrogates are not text in Spark; repeated rows are encoded one by one; very long texts
+are encoded whole, in time that grows with their length (a stretch without spaces needs some 20 bytes
+of memory a byte); an empty table gives an empty result. ``encode()`` keeps the columns it is told to,
+whatever their names; ``ids`` takes the place of a column of that name.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import slices
-from .memory import Cache, of_worker
+from .memory import Cache, of_worker, release
 
 MARKER = "▁"
 #: Kinds of pieces in a model file, and the penalty of unknown characters.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
 LONGEST_KEPT = 48
+#: Bytes of a chunk from which on its tables are packed.
+LONG = 1 << 14
+_LOW = float("-inf")
 #: Bytes that the ids of chunks may take in a worker.
 KEPT = 64 << 20
 _CHUNK, _CHUNK_OF_LINE = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -168,8 +175,9 @@ class Processor:
         """The ids of the best segmentation; of equal ones, that whose last piece starts first."""
         data = text.encode()
         n = len(data)
-        best = [0.0] + [None] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        # Lists are faster, arrays take a sixth of their memory.
+        best, start, last = ([_LOW] * (n + 1), [0] * (n + 1), [0] * (n + 1)) if n <= LONG else (array("d", [_LOW]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1))
+        best[0] = 0.0
         base, check, value, scores, unknown = self.base, self.check, self.value, self.scores, self.unknown_score
         at = 0
         while at < n:
@@ -185,26 +193,26 @@ class Processor:
                 piece = value[state]
                 if piece >= 0:
                     total = so_far + scores[piece]
-                    if best[end] is None or total > best[end]:
-                        best[end], back[end] = total, (at, piece)
+                    if total > best[end]:
+                        best[end], start[end], last[end] = total, at, piece
                     single = single or end - at == step
             if not single:
                 end = at + step
                 total = so_far + unknown
-                if best[end] is None or total > best[end]:
-                    best[end], back[end] = total, (at, -1)
+                if total > best[end]:
+                    best[end], start[end], last[end] = total, at, -1
             at += step
         out: list[int] = []
         end = n
         while end:
-            start, piece = back[end]
+            begin, piece = start[end], last[end]
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
-                out += [self.bytes[b] for b in reversed(data[start:end])]
+                out += [self.bytes[b] for b in reversed(data[begin:end])]
             else:
                 out.append(self.unknown)
-            end = start
+            end = begin
         return out[::-1]
 
     def _chunk(self, chunk: str) -> bytes:
@@ -246,8 +254,10 @@ def processor(path: str) -> Processor:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``ids``, an array of integers."""
-    docs = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
+    """The columns ``keep`` and ``ids``, an array of integers, which takes the place of a kept column
+    of that name."""
+    keep = tuple(c for c in keep if c.lower() != "ids")
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = processor(model)
@@ -257,9 +267,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], ids], [*some.schema.names[:-1], "ids"])
+        release()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(run, f"{kinds + ', ' if kinds else ''}ids array<int>")
+    return docs.mapInArrow(run, f"{kinds + ', ' if kinds else ''}ids array<int>").toDF(*keep, "ids")
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -145,9 +146,33 @@ def test_small_unigram_model():
     assert own.encode("c").tolist() == [1, 0]
 
 
+def test_long_stretches_of_text():
+    own = pieces.processor(tokenizer("piece_bpe_32k.model"))
+    for t in ("日本語テキスト" * 4000, "x" * 40_000, "anton\n" * 9000, "\U0001f642é" * 6000):
+        ids = own.encode(t)
+        assert own.decode(ids) == t
+        scored = sum(own.scores[i] for i in ids.tolist() if own.kinds[i] != pieces.BYTE)
+        marked = pieces.MARKER + t
+        single = {p for p, k in zip(own.pieces, own.kinds) if k in (pieces.NORMAL, pieces.USER)}
+        assert scored + sum(c not in single for c in marked) * own.unknown_score == pytest.approx(brute(own, marked))
+
+
+def test_clashing_columns(spark, odd):
+    clash = odd.withColumns({"ids": F.lit(3), "_text": F.lit("y"), "_in_0": F.lit(1), "decoded": F.lit("z")})
+    got = pieces.stage(clash, tokenizer("piece_bpe_32k.model"))
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "_text", "_in_0", "decoded", "ids"]
+    back = pieces.decode(got, tokenizer("piece_bpe_32k.model")).collect()
+    assert sorted(r.decoded for r in back) == sorted(t or "" for _, t in ODD) and {r["_text"] for r in back} == {"y"}
+
+
 def test_pieces_query(odd):
-    got = {(r.doc_id, r.n_pieces) for r in pieces.query(odd, tokenizer("piece_bpe_32k.model")).where("round_trip").collect()}
+    rows = {(r.doc_id, r.n_pieces, r.ids_crc32, r.decoded_sha256, r.round_trip) for r in pieces.query(odd, tokenizer("piece_bpe_32k.model")).collect()}
     own = pieces.processor(tokenizer("piece_bpe_32k.model"))
-    assert got == {(i, len(own.encode(t))) for i, t in ODD}
+    # Not by the chunks that the operator's cache is filled with, but each text in one piece.
+    want = set()
+    for i, t in ODD:
+        ids = own.viterbi((" " + t).replace(" ", pieces.MARKER)) if t else []
+        want.add((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256((t or "").encode()).hexdigest(), True))
+    assert rows == want
     back = pieces.decode(pieces.encode(odd, tokenizer("piece_bpe_32k.model")), tokenizer("piece_bpe_32k.model")).collect()
-    assert sorted((r.decoded for r in back)) == sorted((t or "") for _, t in ODD)
+    assert sorted(r.decoded for r in back) == sorted(t or "" for _, t in ODD)
