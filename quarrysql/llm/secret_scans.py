@@ -1,20 +1,23 @@
 """Secret scans: three base patterns, and a character convolutional network over every candidate.
 
-Candidates are the base matches and every run of ``[A-Za-z0-9+/_.=-]`` of 16 characters or more with
-both a letter and a digit. The network (numpy only) reads a candidate together with the characters
-around it, a long one in overlapping frames over its whole length, of which the highest score counts:
-one-hot character classes, one layer of convolutions, the largest response of each filter, and a
-logistic output. It is trained on labelled findings; its scores are calibrated by Platt scaling
-on findings that training hasn't seen, and the threshold is the highest at which recall on these
-still reaches ``MIN_RECALL``. Base matches always stay; other candidates become findings of kind
-``cnn`` when their calibrated score reaches the threshold and they don't overlap a base match.
+Candidates are the base matches and every run of ``[A-Za-z0-9+/_.=-]`` of 16 characters or more; of a
+run that base matches overlap, what they leave of it, if that is as long. The network (numpy only)
+reads a candidate together with the characters around it, a long one in overlapping frames over its
+whole length, of which the highest score counts: one-hot character classes, one layer of convolutions,
+the largest response of each filter, and a logistic output. It is trained on labelled findings; its
+scores are calibrated by Platt scaling on findings that training hasn't seen, and the threshold is the
+highest at which recall on these still reaches ``MIN_RECALL``. Base matches always stay; other
+candidates become findings of kind ``cnn`` when their calibrated score reaches the threshold. Every
+finding, base ones included, has its score.
 
 The labelled findings come from ``labelled()`` and ``long_runs()``: ``TRAIN_ROWS`` and ``LONG_ROWS``
 generated ones by a fixed seed, secrets of common makes and look-alikes that are none, alone and
 anywhere in long runs. Those bounds are parameters; every text is scanned whole.
 
 Defined cases: null or empty text has no findings (base_sha256 of the empty string); repeated rows
-are scanned one by one; an empty table gives an empty result; other columns stay out of the plan.
+are scanned one by one; very long texts and candidates are scanned whole, a bounded number of frames at
+a time; findings that start together are ordered by kind as listed; an empty table gives an empty
+result; other columns stay out of the plan, and in ``stage()`` they stay as they are.
 """
 
 from __future__ import annotations
@@ -38,24 +41,32 @@ BASE = (
 )
 KINDS = ("assign", "access", "hex", "cnn")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
-TRAIN_ROWS = 3000
+LEAST = 16
+TRAIN_ROWS = 4000
 MIN_RECALL = 0.97
 SEED = 5
 LONG_ROWS = 1000
 LEFT, BODY, RIGHT = 20, 44, 8
 STRIDE = BODY // 4
-WIDTH, FILTERS = 5, 24
+WIDTH, FILTERS = 5, 32
 BATCH = 512
 #: Frames that are scored together.
 FRAMES = 16384
 
-#: Classes of characters; all others share the last one, and 0 is padding.
+#: Classes of characters: every letter and case has its own, the others here share theirs
+#: by group; all else is 1, and 0 is padding.
 _CLASSES = np.full(128, 1, np.uint8)
-for _n, _chars in enumerate(("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "02468", "13579", "-", "_", "+/", "=", ".", " ", "\n\t", ":", "\"'`", "@", "&?", "#%"), 2):
+for _n, _chars in enumerate((*string.ascii_letters, "02468", "13579", "-", "_", "+/", "=", ".", " ", "\n\t", ":", "\"'`", "@", "&?", "#%"), 2):
     for _c in _chars:
         _CLASSES[ord(_c)] = _n
-N_CLASSES = 20
+N_CLASSES = int(_CLASSES.max()) + 1
+
+
+#: Syllables and endings of English, German, French and Spanish, for look-alikes.
+SYLLABLES = (
+    "th the er an and in ing on re ou st ti at en nd or es is it ar te se hi nt ed le al ent ion tion ment ness able ly ous "
+    "sch ein ich keit heit ung ge be ver zu ch lich isch der die nicht und aux eau eux elle ique ette que les des pour ado idad los las mente illo para con por"
+).split()
 
 
 @dataclass(frozen=True)
@@ -74,9 +85,24 @@ def base_findings(text: str) -> list[Finding]:
 
 
 def candidates(text: str, taken: list[Finding]) -> list[tuple[int, int]]:
-    """Spans of candidates that overlap no base match."""
-    found = [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
-    return [(a, b) for a, b in found if not any(a < f.end and f.start < b for f in taken)] if taken else found
+    """Spans of candidates beside the base matches ``taken``, which are in the order of their starts."""
+    found = [m.span() for m in CANDIDATE.finditer(text)]
+    if not taken:
+        return found
+    out, first = [], 0
+    for a, b in found:
+        while first < len(taken) and taken[first].end <= a:
+            first += 1
+        at = a
+        for f in taken[first:]:
+            if f.start >= b:
+                break
+            if f.start - at >= LEAST:
+                out.append((at, f.start))
+            at = max(at, f.end)
+        if b - at >= LEAST:
+            out.append((at, b))
+    return out
 
 
 def classes(text: str) -> np.ndarray:
@@ -114,7 +140,9 @@ class Network:
         self.b = np.zeros(FILTERS, np.float32)
         self.v = r.normal(0, 0.3, FILTERS).astype(np.float32)
         self.c = np.float32(0)
-        self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.slope, self.shift = 1.0, 0.0
+        #: Of candidates that one frame holds, and of longer ones.
+        self.thresholds = (0.5, 0.5)
 
     def responses(self, x: np.ndarray) -> np.ndarray:
         """Of each window, position and filter. A one-hot input makes the product a lookup."""
@@ -172,8 +200,8 @@ class Network:
                     setattr(self, k, getattr(self, k) - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8))
 
     def calibrate(self, found: list[tuple[str, int, int]], y: np.ndarray, min_recall: float = MIN_RECALL) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps ``min_recall``, both of
-        candidates that one frame holds and of longer ones."""
+        """Platt scaling by Newton steps, then the highest thresholds that keep ``min_recall``: one of
+        candidates that one frame holds, one of longer ones."""
         frames = [windows(*f) for f in found]
         z = np.maximum.reduceat(self.raw(np.concatenate(frames)).astype(float), np.cumsum([0, *map(len, frames[:-1])]))
         ys = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
@@ -186,8 +214,14 @@ class Network:
         self.slope, self.shift = map(float, a)
         scores, long = self.score_whole(found), np.array([end - start > BODY for _, start, end in found])
         each = [np.sort(scores[(y > 0) & kind]) for kind in (~long, long)]
-        at = [float(hits[int(np.floor((1 - min_recall) * len(hits)))]) for hits in each if len(hits)]
-        self.threshold = min(at) if at else 1.0
+        self.thresholds = tuple(float(hits[int(np.floor((1 - min_recall) * len(hits)))]) if len(hits) else 1.0 for hits in each)
+
+    def is_secret(self, start: int, end: int, score: float) -> bool:
+        return score >= self.thresholds[end - start > BODY]
+
+    def secrets(self, found: list[tuple[str, int, int]]) -> np.ndarray:
+        """Which candidates reach their threshold."""
+        return np.array([self.is_secret(a, b, p) for (_, a, b), p in zip(found, self.score_whole(found))], bool)
 
 
 def long_runs(rows: int = LONG_ROWS, seed: int = SEED) -> tuple[list[tuple[str, int, int]], np.ndarray, list[tuple[int, int]]]:
@@ -236,7 +270,9 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[list[tuple[str,
     pick = lambda s, n: "".join(r.choice(list(s), n))
     one = lambda *xs: xs[r.integers(len(xs))]
     alnum, low_hex = string.ascii_letters + string.digits, "0123456789abcdef"
-    word = lambda a=3, b=10: "".join(one("th", "er", "an", "ing", "on", "re", "ou", "st", "ti", "ñe", "ch", "ver", "os", "la", "ed") for _ in range(r.integers(a, b) // 2 + 1))
+    vowels, others = "aeiou", "bcdfghjklmnprstvwz"
+    syllable = lambda: one(*SYLLABLES) if r.random() < 0.6 else one(*others) + one(*vowels) + (one(*others) if r.random() < 0.4 else "")
+    word = lambda a=3, b=10: "".join(syllable() for _ in range(r.integers(a, b) // 2 + 1))
 
     def secret() -> str:
         return one(
@@ -244,15 +280,19 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[list[tuple[str,
             lambda: "xox" + one("b", "p") + "-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "-_", 35),
             lambda: "eyJ" + pick(alnum, 20) + "." + pick(alnum + "-_", 30) + "." + pick(alnum + "-_", 20), lambda: base64.b64encode(r.bytes(int(r.integers(18, 40)))).decode(),
             lambda: pick(low_hex, r.integers(20, 48)), lambda: pick(low_hex.upper(), r.integers(20, 48)), lambda: "glpat-" + pick(alnum + "_-", 20), lambda: pick(alnum, r.integers(20, 44)),
+            lambda: pick(string.ascii_letters, r.integers(18, 44)), lambda: pick(one(string.ascii_lowercase, string.ascii_uppercase), r.integers(20, 44)), lambda: "/" + pick(alnum + "+/", 40),
+            lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: one("password", "passwd", "secret", "token", "api_key", "apikey") + one("=", ": ", ' = "', ":") + pick(alnum, r.integers(12, 36)),
         )()
 
     def plain() -> str:
         return one(
             lambda: word(16, 30) + str(r.integers(10, 9999)), lambda: f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}T{r.integers(10, 24)}.{r.integers(10, 60)}",
-            lambda: f"{word()}.{word()}{r.integers(1, 99)}.{one('com', 'org', 'net', 'es')}/{word()}/{word()}", lambda: f"{word()}-{word()}-{word()}-{r.integers(1, 999)}",
+            lambda: f"{word()}.{word()}{r.integers(1, 99)}.{one('com', 'org', 'net', 'es')}/{word()}/{word()}", lambda: f"{word()}{r.integers(0, 99)}.{one('example', word(), word(4, 8))}.{one('com', 'org', 'net', 'de', 'fr')}", lambda: f"{word()}-{word()}-{word()}-{r.integers(1, 999)}",
             lambda: f"/{word()}/{word()}/{word()}_{r.integers(1, 99)}.{one('html', 'png', 'pdf')}", lambda: f"{word()}_{word()}_{word()}_{r.integers(0, 99)}", lambda: f"v{r.integers(1, 9)}.{r.integers(0, 99)}.{r.integers(0, 99)}-{word(8, 20)}",
             lambda: "=" * int(r.integers(8, 20)) + word() + str(r.integers(1, 9)), lambda: f"{r.integers(100, 999)}-{r.integers(100, 999)}-{r.integers(1000, 9999)}-{word()}", lambda: ("".join(word() for _ in range(3)) + str(r.integers(1, 99))).upper(),
             lambda: f"{word()}.{r.integers(1, 999)}...{word()}.{word()}", lambda: f"{word(10, 20)}={r.integers(1, 999)}",
+            lambda: word(16, 28) + word(12, 24), lambda: (word(12, 20) + word(10, 20)).capitalize(), lambda: f"{word(6)}-{word(6)}-{word(8)}", lambda: f"{word(6)}.{word(6)}.{word(6)}/{word(6)}", lambda: f"{word(8)}_{word(8)}".upper(),
+            lambda: one("-", "=", "_", ".") * int(r.integers(16, 60)), lambda: str(r.integers(10**17, 10**18)), lambda: word(8).capitalize() + word(8).capitalize() + word(8).capitalize(),
         )()
 
     found, labels = [], []
@@ -297,7 +337,7 @@ def scan(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "tex
                 scores = net.score_whole(whole)
                 rows: list[list[dict]] = [[] for _ in range(some.num_rows)]
                 for i, f, p in zip(owners, spans, scores):
-                    if f.kind != "cnn" or p >= net.threshold:
+                    if f.kind != "cnn" or net.is_secret(f.start, f.end, p):
                         rows[i].append({"kind": f.kind, "start": f.start, "end": f.end, "score": float(p)})
                 for found in rows:
                     found.sort(key=lambda f: (f["start"], KINDS.index(f["kind"])))
@@ -315,7 +355,8 @@ def query(docs: DataFrame) -> DataFrame:
     base = F.filter("findings", lambda f: f["kind"] != "cnn")
     spell = lambda fs: F.concat_ws(",", F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("findings")).alias("spans"))
+    scores = F.concat_ws(",", F.transform("findings", lambda f: F.format_string("%.3f", f["score"])))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("findings")).alias("spans"), count("cnn").alias("n_cnn"), scores.alias("scores"))
 
 
 def redact(docs: DataFrame, net: Network | None = None, text: str = "text") -> DataFrame:
@@ -332,7 +373,7 @@ def redact(docs: DataFrame, net: Network | None = None, text: str = "text") -> D
                 more = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, found[i])]
                 scores = net.score_whole([(texts[i], a, b) for i, a, b in more])
                 for (i, a, b), p in zip(more, scores):
-                    if p >= net.threshold:
+                    if net.is_secret(a, b, p):
                         found[i].append(Finding(a, b, "cnn"))
                 out += [_without(t, f) for t, f in zip(texts, found)]
             yield batch.set_column(at, text, pa.array(out, batch.schema.field(at).type))
