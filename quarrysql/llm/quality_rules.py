@@ -3,7 +3,8 @@
 Native: every measure and every verdict is a built-in expression; there is no user function.
 
 Defined cases: null text counts as empty and fails the base rules; an empty table gives an empty
-result; repeated rows are judged one by one; very long texts need memory for their own words only.
+result; repeated rows are judged one by one; very long texts are counted exactly, and need memory for
+their own words only; measures equal to a threshold pass.
 The input's own columns stay in ``judge()``; its results replace columns of the same names.
 """
 
@@ -52,20 +53,29 @@ def repeat_words(found: Column) -> Column:
 
     Each window becomes one long: a hash in the high bits and its position in as many low bits as
     the array needs. Sorting brings equal windows together, so the work is n log n and not n squared.
+    Of the windows whose hash another has, the words themselves are sorted and compared.
     """
 
     def windows(w: Column) -> Column:
         n = F.size(w)
         bits = F.length(F.bin(n.cast("long")))
         key = lambda i: F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits), bits).bitwiseOR(i.cast("long"))
-        spans = let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key)), lambda s: repeated(s, bits))
-        return F.when(n >= 3, let(spans, covered)).otherwise(F.lit(0).cast("long"))
+        spans = let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key)), lambda s: alike(s, bits))
+        whole = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.cast("long").alias("i"))
+        same = let(F.sort_array(F.transform(spans, lambda i: whole(i.cast("int")))), repeated)
+        return F.when(n >= 3, let(same, covered)).otherwise(F.lit(0).cast("long"))
 
-    def repeated(s: Column, bits: Column) -> Column:
+    def either(s: Column, equal) -> Column:
+        """The elements that are equal to the one before or after."""
+        return F.filter(s, lambda x, i: F.coalesce(equal(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(equal(x, F.get(s, i - 1)), F.lit(False)))
+
+    def alike(s: Column, bits: Column) -> Column:
         high = lambda x: F.call_function("shiftright", x, bits)
-        same = lambda x, i: (high(x) == high(F.get(s, i + 1))) | (high(x) == high(F.get(s, i - 1)))
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        return F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x.bitwiseAND(mask)))
+        return F.transform(either(s, lambda x, y: high(x) == high(y)), lambda x: x.bitwiseAND(mask))
+
+    def repeated(s: Column) -> Column:
+        return F.sort_array(F.transform(either(s, lambda x, y: x["w"] == y["w"]), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         step = lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))
