@@ -39,7 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 from itertools import groupby
 from math import ceil, log2
@@ -246,16 +246,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], set_of, row_of) -> Iterator[tuple
         yield part << 24 | number, rows, sets
 
 
-def describe(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
+def describe(docs: DataFrame, set_of: Callable[[str | None], np.ndarray], threshold: Fraction) -> DataFrame:
     """doc_id, mark, n_shingles, digest of the set, and whether enough shingles occur elsewhere, of
-    every row of ``docs`` (doc_id, text, mark)."""
+    every row of ``docs`` (doc_id, text, mark). set_of: a text's sorted distinct 64-bit hashes."""
     parts = shuffle_partitions(docs.sparkSession)
     splits = _splits(docs, parts)
     n_buckets = parts * splits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = lambda r, s: (r["doc_id"], len(s), r["mark"], hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-        for chunk, rows, sets in _chunks(batches, lambda r: shingles(r["text"], n), row):
+        for chunk, rows, sets in _chunks(batches, lambda r: set_of(r["text"]), row):
             ids = np.array([r[0] or 0 for r in rows], "<i8")
             null = np.array([r[0] is None for r in rows], "?")
             sizes, marks = np.array([r[1] for r in rows], "<i8"), np.array([r[2] for r in rows], "<i8")
@@ -279,7 +279,7 @@ def describe(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD) -> Da
     return _gathered(answers, of_chunk, "doc_id long, mark long, n_shingles long, digest binary, near boolean")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, set_of: Callable[[str | None], np.ndarray], threshold: Fraction) -> DataFrame:
     """node, size and the shared shingles of the nodes' sets, rarest first, as packed 64-bit integers;
     nodes with too few shared ones are left out."""
     parts = shuffle_partitions(docs.sparkSession)
@@ -287,7 +287,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int, threshold: Fraction) -> D
     n_buckets = parts * splits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows, sets in _chunks(batches, lambda r: shingles(r["text"], n), lambda r, s: (r["doc_id"], len(s))):
+        for chunk, rows, sets in _chunks(batches, lambda r: set_of(r["text"]), lambda r, s: (r["doc_id"], len(s))):
             ids, sizes = np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<i8")
             yield from _packed(chunk, sets, n_buckets, _blob(ids, sizes, np.concatenate(sets)), False)
         release()
@@ -529,23 +529,23 @@ def _large(large: DataFrame, threshold: Fraction, block: int) -> DataFrame:
     return known.union(_search_blocks(rows[0].union(rows[1]), threshold))
 
 
-def _classes(docs: DataFrame, n: int, threshold: Fraction, block: int) -> DataFrame:
+def classes(docs: DataFrame, set_of: Callable[[str | None], np.ndarray], threshold: Fraction, block: int = BLOCK, by_length: bool = False) -> DataFrame:
     """doc_id, mark, n_shingles, digest, near and label of every row of ``docs`` (doc_id, text, mark).
     label: the least doc_id that its text reaches; null for texts that have nothing in common with
     others, and for those that only rows with null ids have."""
-    known = stored(describe(docs, n, threshold), "shingle-sets")
+    known = stored(describe(docs, set_of, threshold), "shingle-sets")
     nodes = known.where("near and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = stored(nodes.where("node is not null"), "shingle-nodes")
-    sets = stored(sets_of(docs, nodes, n, threshold), "shingle-lists")
-    labels = stored(components(find_links(sets, threshold, block)), "labels")
-    classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "node").alias("label"))
-    return known.join(classes, (F.col("digest") == F.col("_digest")) & F.col("near"), "left").drop("_digest")
+    sets = stored(sets_of(docs, nodes, set_of, threshold), "shingle-lists")
+    labels = stored(components(find_links(sets, threshold, block, by_length)), "labels")
+    found = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "node").alias("label"))
+    return known.join(found, (F.col("digest") == F.col("_digest")) & F.col("near"), "left").drop("_digest")
 
 
 def join(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("mark"))
-    return _classes(docs, n, threshold, block).select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return classes(docs, lambda t: shingles(t, n), threshold, block).select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -559,7 +559,7 @@ def stage(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: i
     A row is known by its id and its text's 64-bit hash; equal ones are told apart by nothing, so one of
     them stays. Only rows that equal another take part in that exchange."""
     own = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"))
-    known = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")), n, threshold, block)
+    known = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")), lambda t: shingles(t, n), threshold, block)
     one = F.coalesce(F.col("label").cast("string"), F.hex("digest"))
     rows = known.where("near and n_shingles > 0").groupBy(one.alias("one"), "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
     first = rows.groupBy(F.col("one").alias("_one")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("first"))

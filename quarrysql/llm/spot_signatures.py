@@ -7,13 +7,15 @@ lengths: of two sets whose lengths differ too much none is looked into.
 
 ``near_duplicates()`` links the documents of a table: a set of length n can only be like sets of
 lengths n*t to n/t, so sets are partitioned by length and meet in their own and the next partition.
+There, only sets that share one of their rarest signatures meet, in the blocks of the n-gram join's
+search. Each row of ``query()`` has its component.
 
 Defined cases: null text is empty; a text without words has an empty set; a text with words and no
 complete chain has one signature, of all its words; two empty sets have likeness 1, an empty and
 another 0; equal texts have equal fingerprints; words are cut at white space, lower-cased and
 stripped of punctuation, and what is left empty is skipped. In ``with_edited()`` null ids come first
-and rows of the same id are ordered by text; one document alone is its own next. Other columns are
-ignored.
+and rows of the same id are ordered by text; one document alone is its own next. Very long texts are
+read whole: a text and its set must fit in a task's memory. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, stored
-from .graph import components
+from .common import stored
 from .memory import Cache, of_worker
-from .ngram_join import find_links
+from .ngram_join import classes
 from .ordering import Ranges
 
 #: Common words of English, German, French and Spanish.
@@ -40,6 +41,7 @@ ANCHORS = frozenset(
     "el las los y del se no por con para su es una al lo como".split()
 )
 CHAIN = 2
+THRESHOLD = Fraction(3, 4)
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»“”‘’¿¡"
 _ANCHOR, _CONTENT, _NONE = 1, 2, 0
 #: Bytes that the hashes of words may take in a worker; longer words are hashed each time.
@@ -105,26 +107,29 @@ def fingerprint(sigs: np.ndarray) -> str:
     return sigs.astype(">u4").tobytes().hex()
 
 
-def with_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_edited(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half is the start of the next
-    document. The texts are exchanged once: by ranges of the id, with a copy of each range's first
-    document for the range before."""
+    document, and component_id: the label that ``labels`` (doc_id, mark, label) has for the id and the
+    text's 64-bit hash, else the id. The texts are exchanged once: by ranges of the id, with a copy of
+    each range's first document for the range before and the labels of the range's own."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = Ranges(docs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         out: list[tuple] = []
+        known: dict[int, int] = {}  # the labels of the current id, by the hash of the text
+        current: object = ()
 
-        def pair(i, t, sigs, following, next_sigs) -> tuple:
+        def pair(i, t, sigs, label, following, next_sigs) -> tuple:
             n = len(t)
             edited = t[: n - n // 2] + following[: n // 2]
             again = signatures(edited)
-            return i, n, hashlib.sha256(edited.encode()).hexdigest(), fingerprint(sigs), fingerprint(again), likeness(sigs, again), likeness(sigs, next_sigs)
+            return i, n, hashlib.sha256(edited.encode()).hexdigest(), fingerprint(sigs), fingerprint(again), likeness(sigs, again), likeness(sigs, next_sigs), len(sigs), label
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "component_id"])
 
         over = False
         for batch in batches:
@@ -132,43 +137,50 @@ def with_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 for row in batch.slice(at, 256).to_pylist():
                     if over:
                         break
+                    if row["doc_id"] != current:
+                        current, known = row["doc_id"], {}
+                    if row["text"] is None:
+                        known[row["mark"]] = row["label"]
+                        continue
                     sigs = signatures(row["text"])
                     if held:
                         out.append(pair(*held, row["text"], sigs))
-                    held = (row["doc_id"], row["text"], sigs)
+                    held = (row["doc_id"], row["text"], sigs, known.get(row["mark"], row["doc_id"]))
                     over = row["ahead"]
                 if out:
                     yield batch_of(out)
                     out = []
 
     parts = docs.withColumn("_code", F.explode(ranges.with_next(F.col("doc_id"))))
-    parts = parts.withColumn("_part", F.shiftright("_code", 1)).withColumn("ahead", F.col("_code") % 2 == 1)
-    parts = parts.repartitionById(ranges.parts, F.col("_part")).sortWithinPartitions("ahead", "doc_id", "text").select("doc_id", "text", "ahead")
-    return parts.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    parts = parts.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.lit(None).cast("long").alias("label"), F.shiftright("_code", 1).alias("_part"), (F.col("_code") % 2 == 1).alias("ahead"))
+    if labels is not None:
+        parts = parts.union(labels.select("doc_id", F.lit(None).cast("string"), "mark", "label", ranges.of(F.col("doc_id")), F.lit(False)))
+    # Labels stand before the texts of their id.
+    order = [F.col("ahead"), F.col("doc_id"), F.col("text").asc_nulls_first()]
+    parts = parts.repartitionById(ranges.parts, F.col("_part")).sortWithinPartitions(*order).select("doc_id", "text", "mark", "label", "ahead")
+    return parts.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, component_id long")
 
 
-def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _spread(text: str | None) -> np.ndarray:
+    """A text's signatures as sorted 64-bit integers, spread over their whole range: one to one."""
+    sigs = signatures(text).astype(np.uint64)
+    return np.sort((sigs << np.uint64(32) | sigs) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _classes(docs: DataFrame, threshold: Fraction) -> DataFrame:
+    return classes(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")), _spread, threshold, by_length=True)
+
+
+def near_duplicates(docs: DataFrame, threshold: Fraction = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_signatures and component_id: the least id among the documents that links of
     ``threshold`` likeness or more reach. Equal sets are one node, with the least of their ids; empty
     sets link with nothing; of rows with a null id, those that have a node's set get its component."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                sigs = [signatures(t) for t in some.column("text").to_pylist()]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sigs]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sigs], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sigs], pa.binary())], ["doc_id", "size", "digest", "shared"])
-
-    known = stored(docs.mapInArrow(sets_of, "doc_id long, size long, digest binary, shared binary"), "spot-sets")
-    nodes = known.where("size > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    sets = cut(known.join(nodes, (known["digest"] == nodes["digest"]) & (known["doc_id"] == nodes["node"])).select("node", "size", "shared"))
-    labels = cut(components(find_links(sets, threshold, by_length=True)))
-    classes = nodes.join(labels, "node", "left").select(F.col("digest").alias("_digest"), F.coalesce("label", "node").alias("_label"))
-    rows = known.select("doc_id", "size", "digest").join(classes, F.col("digest") == F.col("_digest"), "left")
-    return rows.select("doc_id", F.col("size").alias("n_signatures"), F.coalesce("_label", "doc_id").alias("component_id"))
+    rows = _classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), threshold)
+    return rows.select("doc_id", F.col("n_shingles").alias("n_signatures"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return with_edited(docs)
+    """The fingerprints of ``with_edited()`` with the components of ``near_duplicates()``."""
+    found = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), THRESHOLD)
+    labels = stored(found.where("label is not null and not (label <=> doc_id)").select("doc_id", "mark", "label").distinct(), "spot-labels")
+    return with_edited(docs, labels)

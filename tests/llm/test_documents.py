@@ -166,6 +166,52 @@ def test_spot_signatures(stored, empty):
     assert len(spot_signatures.query(stored(ODD)).collect()) == len(ODD)
 
 
+def plain_signatures(text):
+    """The definition, by loops and over words instead of hashes."""
+    words = [w.lower().strip(".,;:!?\"'()[]{}<>|*#$%&-–—…«»“”‘’¿¡") for w in (text or "").split()]
+    words = [w for w in words if w]
+    found = set()
+    for i, w in enumerate(words):
+        chain = [x for x in words[i + 1 :] if x not in spot_signatures.ANCHORS][:2]
+        if w in spot_signatures.ANCHORS and len(chain) == 2:
+            found.add((w, *chain))
+    return found or ({tuple(words)} if words else set())
+
+
+def test_fingerprints_by_brute_force(stored):
+    r = random.Random(3)
+    words = ["the", "of", "and", "Der", "la", "is", *(f"word{i}" for i in range(12)), "End.", "--", "(la", "Ça"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 3, 10, 60])))) for i in range(120)]
+    rows += [(200, rows[3][1]), (201, rows[60][1]), (202, rows[60][1] + " the word1 other thing"), (203, None), (204, "the " * 20_000 + "end of it all")]
+    got = {x.doc_id: x for x in spot_signatures.query(stored(rows, 4)).collect()}
+    jaccard = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    of, parent = {i: plain_signatures(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, t), (j, after) in zip(rows, rows[1:] + rows[:1]):
+        t, after = t or "", after or ""
+        edited = plain_signatures(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        assert got[i].near_next == pytest.approx(jaccard(of[i], of[j])) and got[i].near_edited == pytest.approx(jaccard(of[i], edited))
+        assert got[i].n_signatures == len(of[i]) == len(got[i].fingerprint) // 8 and len(got[i].edited_fingerprint) // 8 == len(edited)
+        for k, _ in rows:
+            if k < i:
+                assert (got[i].fingerprint == got[k].fingerprint) == (of[i] == of[k])
+                if of[i] and of[k] and jaccard(of[i], of[k]) >= 0.75:
+                    a, b = find(i), find(k)
+                    parent[max(a, b)] = min(a, b)
+    assert {i: x.component_id for i, x in got.items()} == {i: find(i) for i, _ in rows}
+
+
+def test_components_of_rows_that_share_an_id(stored):
+    t, u = "the quick brown fox and the lazy dog is here", "a wholly other text is not the same as those of before"
+    got = sorted(((r.doc_id, r.n_chars, r.component_id) for r in spot_signatures.query(stored([(1, t), (2, u), (2, t), (None, t), (None, "is the unlike third text of all")])).collect()), key=repr)
+    assert got == sorted([(1, len(t), 1), (2, len(u), 2), (2, len(t), 1), (None, len(t), 1), (None, 31, None)], key=repr)
+
+
 def test_near_duplicates(stored, empty):
     r = random.Random(8)
     common, words = ["the", "of", "and", "is"], [f"word{i}" for i in range(500)]
@@ -178,7 +224,7 @@ def test_near_duplicates(stored, empty):
             w[r.randrange(len(w))] = r.choice(words)
             w += w[: r.randrange(0, 12)]
         rows.append((i, " ".join(w)))
-    sets = {i: set(spot_signatures.signatures(t).tolist()) for i, t in rows}
+    sets = {i: plain_signatures(t) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
