@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The separators of the word pattern ``[^\x20\x09-\x0D]+``, as a regular expression.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
+#: Rows of a few numbers that a partition should have.
+PART_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fitted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A checkpoint or stored table in as few partitions as its rows need, so that small tables don't
+    go through many empty tasks and files: what adaptive execution does, with the rows counted before."""
+    rows = df.count() if rows is None else rows
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, fitted
 
 #: A task's edges are made a forest in parts of so many.
 PART = 200_000
@@ -63,6 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
         if size == before or not size[0]:
             break
         before = size
+        now = fitted(now, size[0])
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         now = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

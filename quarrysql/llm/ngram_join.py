@@ -46,13 +46,17 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, shuffle_partitions, stored
+from .bpe import slices
+from .coded import coded_words, distinct
+from .common import cut, fitted, shuffle_partitions, stored
 from .graph import components
-from .memory import Cache, of_worker, release
+from .memory import release
 
+SetsOf = Callable[[pa.Array], list[np.ndarray]]
 N = 5
 THRESHOLD = Fraction(3, 4)
 #: About the most nodes and shingles of a block and queries that it gets at once, shingles and
@@ -62,35 +66,30 @@ CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 800_000, 60_000, 16
 #: Fixed value: the factor of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 _SEVERAL = 0xFFFF
-BUCKET_BYTES = 1 << 20
-#: Bytes that the hashes of words may take in a worker; longer words are hashed each time.
-KEPT, LONGEST_KEPT = 32 << 20, 64
-
-
-class _Words(Cache):
-    def __missing__(self, word: bytes) -> int:
-        if word in self.old:
-            return self.put(word, self.old[word], len(word))
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return self.put(word, value, len(word)) if len(word) <= LONGEST_KEPT else value
-
-
-def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles of ``n`` words.
-
-    Splitting bytes parts at ASCII white space and lowering them changes A-Z only, as wanted.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = of_worker("n-gram join", "words", lambda: _Words(KEPT))
-    coded = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
-    known.age()
-    if not len(coded):
-        return coded
-    size = min(n, len(coded))
-    out = np.full(len(coded) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + coded[k : k + len(out)]
-    return np.unique(out ^ (out >> np.uint64(29)))
+#: Bytes of stored text that a partition and a bucket of hashes stand for, and of text read at once.
+PART_BYTES, BUCKET_BYTES, SLICE = 4 << 20, 1 << 20, 4 << 20
+
+
+def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles of ``n`` words. Lowering and
+    cutting know ASCII only, as wanted."""
+    codes, offsets = coded_words(pc.ascii_lower(texts))
+    step = lambda out, k, of: (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + of[k : k + len(out)]
+    last = lambda out: out ^ (out >> np.uint64(29))
+    every = np.full(max(0, len(codes) - n + 1), n, np.uint64)
+    for k in range(n):
+        every = step(every, k, codes)
+    every = last(every)
+    sets = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if b - a >= n:
+            sets.append(distinct(every[a : b - n + 1]))
+        else:
+            few = np.full(min(1, b - a), b - a, np.uint64)
+            for k in range(b - a):
+                few = step(few, k, codes[a:b])
+            sets.append(last(few))
+    return sets
 
 
 def least_overlap(n: int, threshold: Fraction) -> int:
@@ -138,11 +137,13 @@ def _answer_rows(chunks: list[int], bucket: int, answers: list[bytes], meta: byt
     return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * n, pa.int32()), pa.array(answers, pa.binary()), pa.array([meta] * n, pa.binary())], ["chunk", "bucket", "answer", "meta"])
 
 
-def _splits(docs: DataFrame, parts: int) -> int:
-    """Buckets a partition, so that one has about ``BUCKET_BYTES`` of stored text, by the optimizer's
-    estimate of the table's size. The number decides memory and speed only."""
+def _deal(docs: DataFrame) -> tuple[int, int]:
+    """How many partitions hashes are dealt to, ``spark.sql.shuffle.partitions`` at most and fewer for
+    little text, and how many buckets each has; by the optimizer's estimate of the table's size. The
+    numbers decide memory and speed only."""
     stored_bytes = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(4, min(256, stored_bytes // parts // BUCKET_BYTES))
+    parts = max(1, min(shuffle_partitions(docs.sparkSession), stored_bytes // PART_BYTES))
+    return parts, max(4, min(256, stored_bytes // parts // BUCKET_BYTES))
 
 
 def _answers(exchanged: DataFrame, parts: int, splits: int, by_owner: bool) -> DataFrame:
@@ -230,15 +231,16 @@ def _unblob(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], set_of, row_of) -> Iterator[tuple[int, list, list[np.ndarray]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], set_of: SetsOf, row_of) -> Iterator[tuple[int, list, list[np.ndarray]]]:
     """Number, rows and sets of each chunk of the task's rows; the number holds the partition."""
     part, number, rows, sets, size = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            for r in batch.slice(at, 256).to_pylist():
-                sets.append(set_of(r))
-                rows.append(row_of(r, sets[-1]))
-                size += len(sets[-1])
+        for some in slices(batch, "text", SLICE):
+            found = set_of(some.column("text"))
+            for r, own in zip(some.drop_columns(["text"]).to_pylist(), found):
+                sets.append(own)
+                rows.append(row_of(r, own))
+                size += len(own)
                 if size >= CHUNK_SHINGLES or len(rows) >= CHUNK_DOCS:
                     yield part << 24 | number, rows, sets
                     number, rows, sets, size = number + 1, [], [], 0
@@ -246,16 +248,15 @@ def _chunks(batches: Iterator[pa.RecordBatch], set_of, row_of) -> Iterator[tuple
         yield part << 24 | number, rows, sets
 
 
-def describe(docs: DataFrame, set_of: Callable[[str | None], np.ndarray], threshold: Fraction) -> DataFrame:
+def describe(docs: DataFrame, set_of: SetsOf, threshold: Fraction) -> DataFrame:
     """doc_id, mark, n_shingles, digest of the set, and whether enough shingles occur elsewhere, of
-    every row of ``docs`` (doc_id, text, mark). set_of: a text's sorted distinct 64-bit hashes."""
-    parts = shuffle_partitions(docs.sparkSession)
-    splits = _splits(docs, parts)
+    every row of ``docs`` (doc_id, text, mark). set_of: of texts, their sorted distinct 64-bit hashes."""
+    parts, splits = _deal(docs)
     n_buckets = parts * splits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = lambda r, s: (r["doc_id"], len(s), r["mark"], hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-        for chunk, rows, sets in _chunks(batches, lambda r: set_of(r["text"]), row):
+        for chunk, rows, sets in _chunks(batches, set_of, row):
             ids = np.array([r[0] or 0 for r in rows], "<i8")
             null = np.array([r[0] is None for r in rows], "?")
             sizes, marks = np.array([r[1] for r in rows], "<i8"), np.array([r[2] for r in rows], "<i8")
@@ -279,15 +280,14 @@ def describe(docs: DataFrame, set_of: Callable[[str | None], np.ndarray], thresh
     return _gathered(answers, of_chunk, "doc_id long, mark long, n_shingles long, digest binary, near boolean")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, set_of: Callable[[str | None], np.ndarray], threshold: Fraction) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, set_of: SetsOf, threshold: Fraction) -> DataFrame:
     """node, size and the shared shingles of the nodes' sets, rarest first, as packed 64-bit integers;
     nodes with too few shared ones are left out."""
-    parts = shuffle_partitions(docs.sparkSession)
-    splits = _splits(docs, parts)
+    parts, splits = _deal(docs)
     n_buckets = parts * splits
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows, sets in _chunks(batches, lambda r: set_of(r["text"]), lambda r, s: (r["doc_id"], len(s))):
+        for chunk, rows, sets in _chunks(batches, set_of, lambda r, s: (r["doc_id"], len(s))):
             ids, sizes = np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<i8")
             yield from _packed(chunk, sets, n_buckets, _blob(ids, sizes, np.concatenate(sets)), False)
         release()
@@ -405,7 +405,7 @@ def _bisect(x: list[int], c: int) -> int:
     return low
 
 
-def _search_blocks(rows: DataFrame, threshold: Fraction) -> DataFrame:
+def _search_blocks(rows: DataFrame, n_blocks: int, threshold: Fraction) -> DataFrame:
     """a, b: enough links for the components. rows: block (a number; blocks are dealt to tasks in turn),
     kind (0: indexed and asking what is already there; 1: asking the block's whole index), node, size,
     shared."""
@@ -427,21 +427,21 @@ def _search_blocks(rows: DataFrame, threshold: Fraction) -> DataFrame:
                     held = []
         release()
 
-    parts = shuffle_partitions(rows.sparkSession)
+    parts = max(1, min(shuffle_partitions(rows.sparkSession), n_blocks))
     dealt = rows.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", "kind", "size", "node")
     return dealt.select("block", "kind", "node", "size", "shared").mapInArrow(search, "a long, b long")
 
 
-def numbered(groups: DataFrame, key: str, blocks: str) -> DataFrame:
-    """``groups`` with ``base``: how many blocks all groups before it have. A prefix sum in two steps;
-    the driver holds a number a partition."""
+def numbered(groups: DataFrame, key: str, blocks: str) -> tuple[DataFrame, int]:
+    """``groups`` with ``base``, how many blocks all groups before it have, and how many there are. A
+    prefix sum in two steps; the driver holds a number a partition."""
     parts = shuffle_partitions(groups.sparkSession)
-    placed = cut(groups.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
+    placed = fitted(cut(groups.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))))
     sums = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.sum(blocks).alias("n")).collect()}
     before = np.cumsum([0, *(sums.get(i, 0) for i in range(parts))]).tolist()
     within = F.sum(blocks).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
     start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before[:parts]]), F.col("_part") + 1)
-    return placed.withColumn("base", start + F.coalesce(within, F.lit(0))).drop("_part")
+    return placed.withColumn("base", start + F.coalesce(within, F.lit(0))).drop("_part"), before[-1]
 
 
 def length_bounds(threshold: Fraction, top: int = 1 << 40) -> np.ndarray:
@@ -481,28 +481,29 @@ def prefix_ties(sets: DataFrame, threshold: Fraction, by_length: bool = False) -
 def find_links(sets: DataFrame, threshold: Fraction, block: int = BLOCK, by_length: bool = False) -> DataFrame:
     """a, b: links whose components are those of all links between the sets."""
     groups = stored(components(prefix_ties(sets, threshold, by_length)), "groups")
-    member = cut(sets.join(groups, "node").select("node", "label", "size", F.octet_length("shared").alias("bytes")))
-    sizes = member.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("members"), (F.sum("bytes") / 8).alias("shingles"))
+    sizes = sets.select("node", F.octet_length("shared").alias("bytes")).join(groups, "node")
+    sizes = sizes.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("members"), (F.sum("bytes") / 8).alias("shingles"))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / BLOCK_SHINGLES)))
-    sizes = cut(numbered(sizes, "_label", "blocks"))
+    sizes, n_blocks = numbered(sizes, "_label", "blocks")
+    sizes = fitted(cut(sizes))
     member = sets.join(groups, "node").join(sizes, F.col("label") == F.col("_label"))
     small = member.where("blocks = 1").select(F.col("base").alias("block"), F.lit(0).alias("kind"), "node", "size", "shared")
-    found = _search_blocks(small, threshold)
+    found = _search_blocks(small, n_blocks, threshold)
     if sizes.where("blocks > 1").isEmpty():
         return found
     chunk = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     large = cut(member.where("blocks > 1").withColumn("chunk", chunk).select("label", "members", "blocks", "base", "chunk", "node", "size", "shared"))
-    return found.union(_large(large, threshold, block))
+    return found.union(_large(large, n_blocks, threshold, block))
 
 
-def _large(large: DataFrame, threshold: Fraction, block: int) -> DataFrame:
+def _large(large: DataFrame, n_blocks: int, threshold: Fraction, block: int) -> DataFrame:
     """Links in groups of more than a block."""
     # The pivots: of each group about PIVOTS nodes, chosen by hash among all its nodes.
     pivot = large.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("members")) < PIVOTS)
     first = pivot.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     first = first.select((F.col("base") + F.col("chunk")).alias("block"), F.lit(0).alias("kind"), "node", "size", "shared")
     first = first.union(large.select((F.col("base") + F.col("chunk")).alias("block"), F.lit(1).alias("kind"), "node", "size", "shared"))
-    known = stored(_search_blocks(first, threshold), "pivot-links")
+    known = stored(_search_blocks(first, n_blocks, threshold), "pivot-links")
     labels = stored(components(known), "pivot-clusters").withColumnRenamed("label", "cluster")
     now = large.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("cluster", F.coalesce("cluster", "node"))
     bounds = F.array(*[F.lit(int(x)) for x in length_bounds(threshold)])
@@ -518,7 +519,8 @@ def _large(large: DataFrame, threshold: Fraction, block: int) -> DataFrame:
     blocks = own.drop("asking").join(near, ["label", "length"]).where("asking > 0")
     blocks = blocks.withColumn("chunks", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES))).withColumn("parts", F.ceil(F.col("asking") / ASKING))
     blocks = blocks.select(F.struct("label", "length").alias("_of"), "chunks", "parts", (F.col("chunks") * F.col("parts")).alias("blocks"))
-    blocks = cut(numbered(blocks, "_of", "blocks"))
+    blocks, n_blocks = numbered(blocks, "_of", "blocks")
+    blocks = fitted(cut(blocks))
     deal = lambda name, n: F.pmod(F.xxhash64("node", F.lit(name)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     number = (F.col("base") + F.col("chunk") * F.col("parts") + F.col("part")).alias("block")
@@ -526,10 +528,10 @@ def _large(large: DataFrame, threshold: Fraction, block: int) -> DataFrame:
     asking = now.where("asks").withColumn("_near", F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)))
     asking = asking.join(blocks, F.struct("label", F.col("_near").alias("length")) == F.col("_of")).withColumn("part", deal("part", "parts")).withColumn("chunk", every("chunks"))
     rows = [x.select(number, F.lit(kind).alias("kind"), "node", "size", "shared") for kind, x in enumerate((indexed, asking))]
-    return known.union(_search_blocks(rows[0].union(rows[1]), threshold))
+    return known.union(_search_blocks(rows[0].union(rows[1]), n_blocks, threshold))
 
 
-def classes(docs: DataFrame, set_of: Callable[[str | None], np.ndarray], threshold: Fraction, block: int = BLOCK, by_length: bool = False) -> DataFrame:
+def classes(docs: DataFrame, set_of: SetsOf, threshold: Fraction, block: int = BLOCK, by_length: bool = False) -> DataFrame:
     """doc_id, mark, n_shingles, digest, near and label of every row of ``docs`` (doc_id, text, mark).
     label: the least doc_id that its text reaches; null for texts that have nothing in common with
     others, and for those that only rows with null ids have."""
@@ -545,7 +547,7 @@ def classes(docs: DataFrame, set_of: Callable[[str | None], np.ndarray], thresho
 def join(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("mark"))
-    return classes(docs, lambda t: shingles(t, n), threshold, block).select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return classes(docs, lambda texts: shingle_sets(texts, n), threshold, block).select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -559,7 +561,7 @@ def stage(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, block: i
     A row is known by its id and its text's 64-bit hash; equal ones are told apart by nothing, so one of
     them stays. Only rows that equal another take part in that exchange."""
     own = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_mark"))
-    known = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")), lambda t: shingles(t, n), threshold, block)
+    known = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")), lambda texts: shingle_sets(texts, n), threshold, block)
     one = F.coalesce(F.col("label").cast("string"), F.hex("digest"))
     rows = known.where("near and n_shingles > 0").groupBy(one.alias("one"), "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
     first = rows.groupBy(F.col("one").alias("_one")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("first"))

@@ -26,11 +26,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .bpe import slices
+from .coded import coded_words, distinct, hashed
 from .common import stored
-from .memory import Cache, of_worker
-from .ngram_join import classes
+from .memory import release
+from .ngram_join import SLICE, classes
 from .ordering import Ranges
 
 #: Common words of English, German, French and Spanish.
@@ -40,26 +43,19 @@ ANCHORS = frozenset(
     "de la le et les en du un pour que une est qui dans par sur au pas avec il "
     "el las los y del se no por con para su es una al lo como".split()
 )
+_ANCHORS = pa.array(sorted(ANCHORS))
 CHAIN = 2
 THRESHOLD = Fraction(3, 4)
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»“”‘’¿¡"
 _ANCHOR, _CONTENT, _NONE = 1, 2, 0
-#: Bytes that the hashes of words may take in a worker; longer words are hashed each time.
-KEPT, LONGEST_KEPT = 32 << 20, 64
 
 
-class _Words(Cache):
-    """Of a raw word: a hash in the high bits, and in the two lowest whether it is an anchor,
-    a content word or nothing."""
-
-    def __missing__(self, word: str) -> int:
-        if word in self.old:
-            return self.put(word, self.old[word], 2 * len(word))
-        plain = word.lower().strip(_STRIP)
-        kind = _NONE if not plain else _ANCHOR if plain in ANCHORS else _CONTENT
-        value = int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        value = (value & ~3) | kind
-        return self.put(word, value, 2 * len(word)) if len(word) <= LONGEST_KEPT else value
+def _codes(words: pa.Array) -> np.ndarray:
+    """Of raw words: a hash in the high bits, and in the two lowest whether it is an anchor, a content
+    word or nothing."""
+    plain = pc.utf8_trim(pc.utf8_lower(words), characters=_STRIP)
+    kinds = np.where(pc.is_in(plain, value_set=_ANCHORS).to_numpy(zero_copy_only=False), _ANCHOR, np.where(pc.equal(plain, "").to_numpy(zero_copy_only=False), _NONE, _CONTENT))
+    return hashed(plain) & ~np.uint64(3) | kinds.astype(np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,28 +63,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signatures(text: str | None) -> np.ndarray:
-    """The sorted distinct signatures of a text, as unsigned 32-bit integers."""
-    words = (text or "").split()
-    cache = of_worker("spot signatures", "words", lambda: _Words(KEPT))
-    coded = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-    cache.age()
-    kinds = coded & 3
-    content = np.flatnonzero(kinds == _CONTENT)
-    anchors = np.flatnonzero(kinds == _ANCHOR)
+def signature_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct signatures of each text, as unsigned 32-bit integers."""
+    codes, offsets = coded_words(texts, True, _codes)
+    kinds = codes & np.uint64(3)
+    content, anchors = np.flatnonzero(kinds == _CONTENT), np.flatnonzero(kinds == _ANCHOR)
+    owner = np.searchsorted(offsets, anchors, "right") - 1
     after = np.searchsorted(content, anchors)
-    whole = after + CHAIN <= len(content)
-    anchors, after = anchors[whole], after[whole]
-    hashes = coded.view(np.uint64)
-    if not len(anchors):
-        some = hashes[kinds != _NONE]
-        if not len(some):
-            return np.zeros(0, np.uint32)
-        return np.frombuffer(hashlib.blake2b(some.tobytes(), digest_size=4).digest(), "<u4").astype(np.uint32)
-    found = _mix(hashes[anchors])
+    # A chain is whole if its last content word is in the anchor's own text.
+    last = np.append(content, np.full(CHAIN, len(codes) + 1))[after + CHAIN - 1]
+    whole = last < offsets[1:][owner]
+    anchors, after, owner = anchors[whole], after[whole], owner[whole]
+    found = _mix(codes[anchors])
     for k in range(CHAIN):
-        found = _mix(found + hashes[content[after + k]])
-    return np.unique((found >> np.uint64(32)).astype(np.uint32))
+        found = _mix(found + codes[content[after + k]])
+    found = (found >> np.uint64(32)).astype(np.uint32)
+    ends = np.searchsorted(owner, np.arange(len(offsets))).tolist()
+    sets = []
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        if a < b:
+            sets.append(distinct(found[a:b]))
+            continue
+        some = codes[offsets[i] : offsets[i + 1]]
+        some = some[(some & np.uint64(3)) != _NONE]
+        sets.append(np.frombuffer(hashlib.blake2b(some.tobytes(), digest_size=4).digest(), "<u4").astype(np.uint32) if len(some) else np.zeros(0, np.uint32))
+    return sets
+
+
+def signatures(text: str | None) -> np.ndarray:
+    """The signatures of one text."""
+    return signature_sets(pa.array([text], pa.string()))[0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
@@ -117,24 +121,23 @@ def with_edited(docs: DataFrame, labels: DataFrame | None = None, doc_id: str =
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        out: list[tuple] = []
         known: dict[int, int] = {}  # the labels of the current id, by the hash of the text
         current: object = ()
 
-        def pair(i, t, sigs, label, following, next_sigs) -> tuple:
-            n = len(t)
-            edited = t[: n - n // 2] + following[: n // 2]
-            again = signatures(edited)
-            return i, n, hashlib.sha256(edited.encode()).hexdigest(), fingerprint(sigs), fingerprint(again), likeness(sigs, again), likeness(sigs, next_sigs), len(sigs), label
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        def compared(pairs: list[tuple]) -> pa.RecordBatch:
+            """The result's rows of documents, each with the next one's text and signatures."""
+            edited = [t[: len(t) - len(t) // 2] + following[: len(t) // 2] for _, t, _, _, following, _ in pairs]
+            rows = []
+            for (i, t, sigs, label, _, next_sigs), e, again in zip(pairs, edited, signature_sets(pa.array(edited, pa.string()))):
+                rows.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint(sigs), fingerprint(again), likeness(sigs, again), likeness(sigs, next_sigs), len(sigs), label))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "component_id"])
 
         over = False
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for row in batch.slice(at, 256).to_pylist():
+            for some in slices(batch, "text", SLICE):
+                pairs: list[tuple] = []
+                for row, sigs in zip(some.to_pylist(), signature_sets(some.column("text"))):
                     if over:
                         break
                     if row["doc_id"] != current:
@@ -142,14 +145,13 @@ def with_edited(docs: DataFrame, labels: DataFrame | None = None, doc_id: str =
                     if row["text"] is None:
                         known[row["mark"]] = row["label"]
                         continue
-                    sigs = signatures(row["text"])
                     if held:
-                        out.append(pair(*held, row["text"], sigs))
+                        pairs.append((*held, row["text"], sigs))
                     held = (row["doc_id"], row["text"], sigs, known.get(row["mark"], row["doc_id"]))
                     over = row["ahead"]
-                if out:
-                    yield batch_of(out)
-                    out = []
+                if pairs:
+                    yield compared(pairs)
+        release()
 
     parts = docs.withColumn("_code", F.explode(ranges.with_next(F.col("doc_id"))))
     parts = parts.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.lit(None).cast("long").alias("label"), F.shiftright("_code", 1).alias("_part"), (F.col("_code") % 2 == 1).alias("ahead"))
@@ -161,10 +163,10 @@ def with_edited(docs: DataFrame, labels: DataFrame | None = None, doc_id: str =
     return parts.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, component_id long")
 
 
-def _spread(text: str | None) -> np.ndarray:
-    """A text's signatures as sorted 64-bit integers, spread over their whole range: one to one."""
-    sigs = signatures(text).astype(np.uint64)
-    return np.sort((sigs << np.uint64(32) | sigs) * np.uint64(0x9E3779B97F4A7C15))
+def _spread(texts: pa.Array) -> list[np.ndarray]:
+    """Texts' signatures as sorted 64-bit integers, spread over their whole range: one to one."""
+    wide = [s.astype(np.uint64) for s in signature_sets(texts)]
+    return [np.sort((s << np.uint64(32) | s) * np.uint64(0x9E3779B97F4A7C15)) for s in wide]
 
 
 def _classes(docs: DataFrame, threshold: Fraction) -> DataFrame:
