@@ -17,8 +17,9 @@ rows, taken by a hash of the document id: that bound is a parameter. All else co
 
 Defined cases: null text counts as empty; null hosts or paths are sites of their own; labels that are
 null, or of unknown documents, are ignored; with no label of either kind all evidence is 0.5; a table
-of one document has no other evidence than the priors; repeated rows count each; an empty table gives
-an empty result. Other columns are ignored.
+of one document has no other evidence than the priors; repeated rows count each; very long texts are
+measured whole; a posterior equal to ``KEEP`` is kept; an empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
@@ -89,9 +91,15 @@ def features(docs: DataFrame, doc_id: Column, host: Column, path: Column, text:
 
 
 def train(feats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Logistic:
-    """``labels``: doc_id, quality. The rows with the least hashes of their ids, ``rows`` at most."""
+    """``labels``: doc_id, quality. Labels are counted first; those whose hash of the id is below a share
+    of its range that leaves nine tenths of ``rows`` go on, so what is joined and sent to the driver has
+    a bound that doesn't grow with the corpus. Should more come, the least hashes count."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = feats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(*FEATURES, "quality").toPandas()
+    share = min(1.0, 0.9 * rows / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
+    some = feats.join(known, "doc_id").select("doc_id", *FEATURES, "quality").toPandas()
+    # Rows come in any order, and sums of floating-point numbers depend on it.
+    some = some.assign(h=pd.util.hash_array(some["doc_id"].to_numpy())).sort_values(["h", "doc_id", *FEATURES]).head(rows)
     return Logistic.fit(some[list(FEATURES)].to_numpy(float), (some["quality"].to_numpy(float) > 0).astype(float))
 
 

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder, slices
+from .common import stored
 from .memory import of_worker
 
 LIMIT = 1024
@@ -62,6 +63,24 @@ def heavy(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     return found.groupBy("piece").agg(F.sum("count").alias("count"))
 
 
+def frequent(docs: DataFrame, tokenizer: str, text: str = "text", most: int = TABLE) -> list[str]:
+    """The most frequent pieces, ``most`` at most.
+
+    Pieces are counted by the logarithm of their counts first, which gives the least count that leaves
+    so many; only those come to the driver, so what it gets doesn't grow with the corpus.
+    """
+    found = stored(heavy(docs, tokenizer, text), "frequent-pieces").withColumn("level", F.floor(8 * F.log2("count")))
+    levels = sorted(((r["level"], r["n"]) for r in found.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for level, n in levels:
+        if total + n > most:
+            break
+        least, total = level, total + n
+    if least is None:
+        return []
+    return [r["piece"] for r in found.where(F.col("level") >= least).select("piece").collect()]
+
+
 def pack(pieces: list[str], tokenizer: str) -> tuple[bytes, bytes]:
     """The table: its pieces joined by NUL, and the number of tokens of each."""
     pieces = [p for p in pieces if "\0" not in p]
@@ -80,9 +99,7 @@ def count(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "do
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     pieces = tokenizer.endswith(".json")
     if pieces:
-        # At most TABLE rows, whatever the corpus holds.
-        top = heavy(docs, tokenizer).orderBy(F.desc("count"), "piece").limit(TABLE).select("piece").collect()
-        packed = pack([r["piece"] for r in top], tokenizer)
+        packed = pack(frequent(docs, tokenizer), tokenizer)
         shared, mark = spark.sparkContext.broadcast(packed), zlib.crc32(packed[0])
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

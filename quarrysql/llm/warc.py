@@ -2,10 +2,10 @@
 
 An archive (``.warc.zst``) starts with a skippable frame (magic number 0x184D2A5D) that holds the
 dictionary; every record follows as a frame of its own, so each can be read alone, given its offset
-and that dictionary. The dictionary is built for each archive from records of that archive: the
-first ``SAMPLE_BYTES`` of records, each up to ``SAMPLE_RECORD`` bytes, which are documented bounds;
-every record is archived whole. Archives hold at most ``ARCHIVE_BYTES`` of records, so what a task
-keeps in memory is bounded.
+and that dictionary. The dictionary is built for each archive from records of that archive: of its
+records, in parts of ``SAMPLE_PART`` bytes, every k-th, so that about ``SAMPLE_BYTES`` from all over
+the archive are read, a documented bound; every record is archived whole. Archives hold about
+``ARCHIVE_BYTES`` of records, or one longer record, so what a task keeps in memory is bounded.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id becomes
 a ``response`` record; the others become ``revisit`` records that refer to it and carry no payload.
@@ -14,8 +14,10 @@ of digests that occur twice or more come back to the pages.
 
 Each attempt of a task writes archives of its own name; only those in the committed list count.
 
-Defined cases: null html is an empty payload; a null url gives no target URI; pages with a null
-page_id keep it, and revisit if an equal payload has a page_id, else are all responses; rows that
+Defined cases: null html is an empty payload; a null or empty url gives no target URI, and white space
+and control characters in one are percent-encoded; very long pages are archived and read back whole,
+each in a task's memory; rows that repeat a page_id share its record id, null ones have ids of their
+own; pages with a null page_id keep it, and revisit if an equal payload has a page_id, else are all responses; rows that
 repeat the largest page_id are all responses; an empty table gives no archive and an empty result.
 Other columns are ignored.
 """
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -41,7 +44,7 @@ DICTIONARY_FRAME, DICTIONARY = 0x184D2A5D, b"\x37\xa4\x30\xec"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 3
 DICTIONARY_BYTES = 32 << 10
-SAMPLE_BYTES, SAMPLE_RECORD = 2 << 20, 64 << 10
+SAMPLE_BYTES, SAMPLE_PART = 2 << 20, 16 << 10
 ARCHIVE_BYTES = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "archive string, n_records long, n_bytes long"
@@ -58,9 +61,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if refers_to is not None else http + payload
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{name}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{name}')}>",
         "WARC-Date": date,
-        "WARC-Target-URI": "".join((url or "").split()) or None,
+        "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or None,
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
         "WARC-Page-ID": name,
         "WARC-Payload-Length": str(len(payload)),
@@ -88,12 +91,8 @@ def build_dictionary(records: list[bytes]):
     """A trained dictionary; of too few or too short records, one of their raw content."""
     import zstandard
 
-    parts, left = [], SAMPLE_BYTES
-    for r in records:
-        if left <= 0:
-            break
-        parts.append(r[: min(SAMPLE_RECORD, left)])
-        left -= len(parts[-1])
+    parts = [r[at : at + SAMPLE_PART] for r in records for at in range(0, len(r), SAMPLE_PART)]
+    parts = parts[:: max(1, -(-sum(map(len, parts)) // SAMPLE_BYTES))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, k=256, d=8, level=LEVEL)
     except zstandard.ZstdError:
@@ -214,6 +213,9 @@ def query(pages: DataFrame) -> DataFrame:
 
 def sql(pages: str = "pages") -> str:
     """DuckDB SQL for ``query()``."""
+    url = "coalesce(url, '')"
+    for code in (*range(1, 33), 127):
+        url = f"replace({url}, chr({code}), '%{code:02X}')"
     return f"""
 with p as (
   select page_id, url, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex,
@@ -225,5 +227,5 @@ select page_id, payload_bytes,
          cast(1 + list_sum(list_transform(range(0, 5), lambda k: cast(substr(bits, i * 5 + k + 1, 1) as int) * (16 >> k))) as int), 1)), '') as payload_digest,
        case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
        case when first is not null and page_id is distinct from first then first end as refers_to,
-       nullif(regexp_replace(coalesce(url, ''), '[[:space:]]', '', 'g'), '') as url
+       nullif({url}, '') as url
 from b"""

@@ -272,6 +272,21 @@ def test_archives_round_trip(spark):
     assert warc.query(pages.limit(0)).collect() == []
 
 
+def test_urls_and_ids_of_records():
+    one = warc.parse(warc.record(1, "http://a/b c\td\u00e9", b"x", None, warc.DATE))[0]
+    assert one["WARC-Target-URI"] == "http://a/b%20c%09d\u00e9"
+    two, three = (warc.parse(warc.record(None, "", b"x", None, warc.DATE))[0] for _ in range(2))
+    assert "WARC-Target-URI" not in two and two["WARC-Record-ID"] != three["WARC-Record-ID"]
+
+
+def test_dictionaries_know_the_whole_archive(monkeypatch):
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 64 << 10)
+    r = random.Random(2)
+    tail = " ".join(r.choice("alpha beta gamma delta".split()) for _ in range(300)).encode()
+    records = [warc.record(i, None, r.randbytes(400), None, warc.DATE) for i in range(600)] + [warc.record(i, None, tail + r.randbytes(20), None, warc.DATE) for i in range(600)]
+    assert b"gamma delta" in warc.build_dictionary(records).as_bytes() or b"alpha" in warc.build_dictionary(records).as_bytes()
+
+
 def test_archive_format():
     import zstandard
 

@@ -1,5 +1,7 @@
+import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -125,3 +127,43 @@ def test_site_quality_without_labels_or_rows(spark, stored, empty):
     assert all(r.p == 0.5 and r.kept for r in site_quality.score(stored(ODD), none, F.col("source"), F.col("lang")).collect())
     assert site_quality.score(empty, none, F.col("source"), F.col("lang")).collect() == []
     assert site_quality.score(stored([(1, "a")]), none, F.lit(None), F.lit(None)).count() == 1
+
+
+def test_posteriors_by_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice(["a", "b", None, "c"]), r.choice(["x", "y", None, f"s{i % 9}"]), round(r.uniform(0.01, 0.99), 3)) for i in range(200)]
+    rows += [(i, "big", "one", 0.9) for i in range(200, 300)] + [(0, "lone", "z", 0.4), (0, "lone", "z", 0.4)]
+    got = site_quality.posterior(spark.createDataFrame(rows, "doc_id long, host string, path string, p double")).collect()
+
+    def moments(groups, mean):
+        own = [g for g in groups.values() if len(g) > 1]
+        n, m = sum(map(len, own)), len(own)
+        within = max(sum(sum(p * p for p in g) - sum(g) ** 2 / len(g) for g in own) / (n - m), 1e-9)
+        between = (sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in own) / (m - 1) - within) / ((n - sum(len(g) ** 2 for g in own) / n) / (m - 1))
+        return min(max(within / between, site_quality.LEAST_PRIOR), site_quality.MOST_PRIOR) if between > 0 else site_quality.MOST_PRIOR
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for _, h, s, p in rows:
+        hosts[h].append(p)
+        paths[h, s].append(p)
+    mean = sum(x[3] for x in rows) / len(rows)
+    k_host, k_path = moments(hosts, mean), moments(paths, mean)
+    want = []
+    for i, h, s, p in rows:
+        inside = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+        odds = lambda x: math.log(x / (1 - x))
+        host = inside((k_host * mean + sum(hosts[h]) - p) / (k_host + len(hosts[h]) - 1))
+        path = inside((k_path * host + sum(paths[h, s]) - p) / (k_path + len(paths[h, s]) - 1))
+        quality = 1 / (1 + math.exp(-(odds(p) + site_quality.SITE_WEIGHT * (odds(path) - odds(inside(mean))))))
+        want.append((i, str(h), str(s), len(hosts[h]), len(paths[h, s]), host, path, quality))
+    have = sorted((x.doc_id, str(x.host), str(x.path), x.n_host, x.n_path, x.host_posterior, x.path_posterior, x.quality) for x in got)
+    for a, b in zip(have, sorted(want), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    assert all(x.kept == (x.quality >= site_quality.KEEP) for x in got)
+
+
+def test_few_of_many_labels_train_the_model(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id % 3 as string) as host", "'p' as path", *[f"cast((id * {7 + i}) % 11 as double) as {n}" for i, n in enumerate(site_quality.FEATURES)])
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    one, two = site_quality.train(docs, labels, 500), site_quality.train(docs.repartition(7), labels.repartition(5), 500)
+    assert one == two
