@@ -16,17 +16,17 @@ Builder = Callable[..., Column]
 
 
 def _pandas(name: str, kind: str) -> Builder:
-    call = getattr(math, name)
+    call = _nullable(getattr(math, name), kind)
 
     def build(*args: Column) -> Column:
         @F.pandas_udf(kind)
         def over(*columns: pd.Series) -> pd.Series:
             rows = zip(*columns)
-            return pd.Series([None if any(_missing(x) for x in r) else _plain(call(*(_argument(x, kind) for x in r))) for r in rows], dtype=object)
+            return pd.Series([None if any(_missing(x) for x in r) else call(*(_argument(x, kind) for x in r)) for r in rows], dtype=object)
 
         # Structs come back as frames, so they go through a row-wise function instead.
         if kind.startswith("struct"):
-            return F.udf(lambda *r: None if any(_missing(x) for x in r) else tuple(map(float, call(*r))), kind)(*args)
+            return F.udf(lambda *r: None if any(_missing(x) for x in r) or (found := call(*r)) is None else tuple(map(float, found)), kind, useArrow=True)(*args)
         return over(*args)
 
     return build
@@ -42,8 +42,25 @@ def _argument(x, kind: str):
     return int(x) if kind == "long" and isinstance(x, float) else x
 
 
-def _plain(x):
-    return x
+def _nullable(call: Callable, kind: str) -> Callable:
+    """``call`` with null for what it isn't defined for, and for integers beyond 64 bits."""
+
+    def result(*args):
+        try:
+            found = call(*args)
+        except (ValueError, OverflowError):
+            return None
+        return None if kind == "long" and not -(1 << 63) <= found < 1 << 63 else found
+
+    return result
+
+
+def _expandtabs(s: Column, size: Column | None = None) -> Column:
+    @F.pandas_udf("string")
+    def over(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or _missing(n) else t.expandtabs(int(n)) for t, n in zip(texts, sizes)], dtype=object)
+
+    return over(s, F.lit(8) if size is None else size)
 
 
 def _where(test: Column, then, otherwise) -> Column:
@@ -91,6 +108,7 @@ STRINGS: dict[str, Builder] = {
     "zfill": lambda s, w: _where(F.length(s) >= w, s, _where(s.rlike("^[+-]"), F.concat(F.substring(s, 1, 1), F.call_function("lpad", F.substring(s, 2, 1 << 30), (w - 1).cast("int"), F.lit("0"))), F.call_function("lpad", s, w, F.lit("0")))),
     "translate": lambda s, a, b: F.call_function("translate", s, a, b),
     "atoi": lambda s: F.trim(s).cast("long"), "atol": lambda s: F.trim(s).cast("long"), "atof": lambda s: F.trim(s).cast("double"),
+    "expandtabs": _expandtabs,
     "concat": F.concat, "md5": F.md5, "coalesce": F.coalesce, "reflect": lambda *a: F.call_function("reflect", *a),
 }
 

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..sources.codecs import codec, guess
+from ..sources.codecs import codec, exact, guess
 
 _GROUP = re.compile(r"\{(\w+)\}")
 
@@ -27,15 +27,20 @@ def pattern(template: str) -> tuple[str, list[str]]:
     return out + re.escape(template[at:]), names
 
 
+def plain(column: Column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(column, "^file:/+", "/")
+
+
 def plain_path(column: Column) -> Column:
-    """A file's path without scheme and with its escapes read."""
-    return F.regexp_replace(F.call_function("url_decode", F.replace(column, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    """A scan's file path without that scheme and with its escapes read."""
+    return plain(F.call_function("url_decode", F.replace(column, F.lit("+"), F.lit("%2B"))))
 
 
 def files(spark: SparkSession, root_dir: str, filename_column: str = "path") -> DataFrame:
     """A row for each file below a folder. Contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root_dir)
-    return found.select(F.regexp_replace("path", "^file:/+", "/").alias(filename_column))
+    return found.select(plain(F.col("path")).alias(filename_column))
 
 
 def extract_path(df: DataFrame, template: str, path_column: str = "path") -> DataFrame:
@@ -46,48 +51,53 @@ def extract_path(df: DataFrame, template: str, path_column: str = "path") -> Dat
     return df.withColumns({name: F.regexp_extract(path, expression, i + 1) for i, name in enumerate(names)})
 
 
-def contents(df: DataFrame, path_column: str = "path", content_column: str = "contents") -> DataFrame:
-    """The rows with the whole text of the file each names."""
-    spark = df.sparkSession
-    names = [r[0] for r in df.select(path_column).distinct().limit(2).collect()]
-    if not names:
-        return df.withColumn(content_column, F.lit(None).cast("string"))
-    root = _common_root(df, path_column)
-    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("_file"), F.col("value").alias(content_column))
-    return df.join(texts, F.col(f"`{path_column}`") == F.col("_file")).drop("_file")
+def _named(df: DataFrame, path_column: str) -> list[str]:
+    """The distinct paths of a column, in order. The driver holds them, as it does the list of files of
+    any scan."""
+    column = F.col(f"`{path_column}`")
+    return sorted(r[0] for r in df.where(column.isNotNull()).select(column).distinct().toLocalIterator())
 
 
-def _common_root(df: DataFrame, path_column: str) -> str:
-    """The deepest folder above all paths: two aggregates, as the first and last paths in order bound
-    all others."""
-    low, high = df.agg(F.min(path_column), F.max(path_column)).first()
-    same = 0
-    for a, b in zip(low, high):
-        if a != b:
-            break
-        same += 1
-    return low if low == high else low[: low.rindex("/", 0, same + 1) + 1] if "/" in low[: same + 1] else "/"
+def contents(df: DataFrame, path_column: str = "path", content_column: str = "contents") -> DataFrame:
+    """The rows with the whole text of the file each names. Only the files named are read; rows without
+    a path go."""
+    names = _named(df, path_column)
+    if not names:
+        return df.where("false").withColumn(content_column, F.lit(None).cast("string"))
+    texts = exact(df.sparkSession.read).text(names, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("_file"), F.col("value").alias("_text"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != content_column]
+    return df.join(texts, plain(F.col(f"`{path_column}`")) == F.col("_file")).select(*kept, F.col("_text").alias(content_column))
 
 
 def decode(df: DataFrame, mime: str = "auto", schema: T.StructType | None = None, path_column: str = "path") -> DataFrame:
-    """A row for each record of the file that each row names: its columns, then the record's."""
+    """A row for each record of the file that each row names: its columns, then the record's. Only the
+    files named are read; of columns without a schema, the first file in order gives the names."""
     spark = df.sparkSession
-    first = df.select(F.min(path_column)).first()[0]
-    if first is None:
+    names = _named(df, path_column)
+    if not names:
         extra = [f for f in (schema or T.StructType()) if f.name not in df.columns]
-        return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    records = decode_tree(spark, _common_root(df, path_column), guess(first) if mime == "auto" else mime, schema, first, set(df.columns))
-    return df.join(records, F.col(f"`{path_column}`") == F.col("_file")).drop("_file")
-
-
-def decode_tree(spark: SparkSession, root: str, mime: str, schema: T.StructType | None, first: str, taken: set[str]) -> DataFrame:
-    """The records of all files below a folder, with the ``_file`` each is from; columns in ``taken``
+        return df.where("false").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    kinds: dict[str, list[str]] = {}
+    for name in names:
+        kinds.setdefault(guess(name) if mime == "auto" else mime, []).append(name)
+    records = None
+    for kind, own in kinds.items():
+        some = decode_tree(spark, own, kind, schema, own[0], set(df.columns))
+        if records is None:
+            records, schema = some, schema or T.StructType([f for f in some.schema if f.name != "_file"])
+        else:
+            records = records.unionByName(some)
+    return df.join(records, plain(F.col(f"`{path_column}`")) == F.col("_file")).drop("_file")
+
+
+def decode_tree(spark: SparkSession, root: str | list[str], mime: str, schema: T.StructType | None, first: str, taken: set[str]) -> DataFrame:
+    """The records of all files below a folder, or of those listed, with the ``_file`` each is from; columns in ``taken``
     are left out, as the path's value wins."""
     own = codec(mime)
     if own is None:
         raise ValueError(f"no codec for {mime!r}")
     if schema is not None:
         schema = T.StructType([f for f in schema if f.name not in taken])
-    records = own.read(spark, root, schema, first)
+    records = own.read(spark, root, schema, first, {})
     kept = [F.col(f"`{f.name}`") for f in records.schema if f.name not in taken or f.name == "_file"]
     return records.select(*kept)

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalar
-from ..types import cast_type
+from ..types import DECLARED, cast_type, type_name
 from . import nodes as n
 
 _numbers = itertools.count()
@@ -115,10 +115,14 @@ class Binder:
         if len(left.slots) != len(right.slots):
             raise BindError(f"UNION ALL of {len(left.slots)} and {len(right.slots)} columns")
         a, b = ([x.df.schema[s.column].dataType for s in x.slots] for x in (left, right))
+        kinds = []
         for i, (x, y) in enumerate(zip(a, b)):
-            if x != y and not isinstance(y, T.NullType):
+            if x != y and not isinstance(y, T.NullType) and type_name(x) != type_name(y):
                 raise BindError(f"UNION ALL of {x.simpleString()} and {y.simpleString()} in column {i}")
-        df = left.df.select(*[s.column for s in left.slots]).union(right.df.select(*[F.col(s.column).cast(k) for s, k in zip(right.slots, a)]))
+            # Types of one declared name may differ in width; both sides become the widest.
+            kinds.append(x if x == y or isinstance(y, T.NullType) else DECLARED.get(type_name(x), x))
+        sides = [x.df.select(*[F.col(s.column).cast(k).alias(s.column) for s, k in zip(x.slots, kinds)]) for x in (left, right)]
+        df = sides[0].union(sides[1])
         return self._cut(self._sort(Bound(df, left.slots), node.order), node)
 
     def _sort(self, bound: Bound, order: tuple[n.Order, ...]) -> Bound:

@@ -14,7 +14,7 @@ from .functions import aggregates, scalar
 from .operators import files
 from .operators.flatten import flatten
 from .plans import nodes as n
-from .plans.binder import Binder
+from .plans.binder import Binder, walk
 from .plans.parser import parse_statement
 from .sources.base import Dual, Source
 from .types import spark_type, struct
@@ -118,16 +118,23 @@ class DataSet:
     def add_function(self, name: str, function: Callable, returns=None) -> None:
         """A scalar function if ``returns`` declares a field (or is a type); a table function if
         ``returns`` is callable or the function is marked ``table``: called with the relation and
-        constants, it gives a DataFrame, or rows of the schema that ``returns`` gives."""
+        constants, it gives a DataFrame, or rows of the schema that ``returns`` gives. One that has an
+        attribute ``resolve`` is a table function too: ``resolve(function, dataset, *arguments)`` gives its
+        DataFrame when a query is bound. Scalar functions get their values in Arrow batches; pandas
+        functions (``F.pandas_udf``) are taken as they are."""
         if name in self.functions or name in self.tables:
             raise ValueError(f"function {name!r} is registered already")
-        if getattr(function, "table", False):
+        if hasattr(function, "resolve"):
+            self.tables[name] = lambda *args: function.resolve(function, self, *args)
+        elif getattr(function, "table", False):
             self.tables[name] = function
+        elif getattr(function, "evalType", 0):
+            self.functions[name] = function
         elif callable(returns) and not isinstance(returns, T.DataType):
             self.tables[name] = self._rows(function, returns)
         else:
             kind = returns if isinstance(returns, T.DataType) else T._parse_datatype_string(returns) if isinstance(returns, str) else spark_type(returns or {"type": "STRING"})
-            own = F.udf(function, kind)
+            own = F.udf(function, kind, useArrow=True)
             self.functions[name] = own
             if returns is not None:
                 self.spark.udf.register(name, function, kind)
@@ -217,6 +224,11 @@ class DataSet:
         return QueryBuilder(self).select(*columns)
 
 
+def replace_views(node: n.Node, dataset: DataSet) -> n.Node:
+    """The tree with each load of a view replaced by what the view means."""
+    return walk(node, lambda x: n.Frame(dataset.views[x.name], x.name) if isinstance(x, n.Load) and x.name in dataset.views else x)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context, for those that don't have it installed."""
     context = spark.sparkContext

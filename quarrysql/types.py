@@ -37,11 +37,12 @@ def declared(schema: T.StructType) -> list[dict]:
 def _declared(name: str, kind: T.DataType, nullable: bool = True) -> dict:
     if isinstance(kind, T.ArrayType):
         return _declared(name, kind.elementType) | {"mode": "REPEATED"}
-    out = {"name": name, "type": _name(kind), "mode": "NULLABLE" if nullable else "REQUIRED"}
+    out = {"name": name, "type": type_name(kind), "mode": "NULLABLE" if nullable else "REQUIRED"}
     return out | {"fields": declared(kind)} if isinstance(kind, T.StructType) else out
 
 
-def _name(kind: T.DataType) -> str:
+def type_name(kind: T.DataType) -> str:
+    """The declared name of a type."""
     if isinstance(kind, T.StructType):
         return "RECORD"
     if isinstance(kind, T.IntegralType):
