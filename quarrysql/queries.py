@@ -6,15 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import DataSet, Frames, Parquet, Trees
-
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def dataset(spark: SparkSession, sf_dir: str) -> DataSet:
-    ds = DataSet(spark)
-    ds.add_source(Parquet(sf_dir, *TABLES))
-    return ds
+from . import DataSet, Frames, Trees, api_queries
+from .api_queries import dataset, work_folder
 
 
 #: name: (statement of the dialect, DuckDB SQL; None where the statement is SQL as it stands)
@@ -23,7 +16,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "project_arith": ("select l_orderkey, l_linenumber, l_linenumber + 2 as more, l_linenumber - 5 as less, l_linenumber * 3 as thrice, -l_linenumber as minus, l_quantity / 4 as quarter from lineitem", None),
     "floor_div": ("select p_partkey, (p_size - 25) / 2 as half, (25 - p_size) / 3 as third from part", "select p_partkey, cast(floor((p_size - 25) / 2) as bigint) as half, cast(floor((25 - p_size) / 3) as bigint) as third from part"),
     "concat_plus": ("select c_custkey, c_name + '/' + c_mktsegment as label from customer", "select c_custkey, c_name || '/' || c_mktsegment as label from customer"),
-    "filter_cmp": ("select o_orderkey, o_totalprice from orders where o_totalprice >= 150000.5 and o_orderkey < 5000 and o_orderstatus != 'F'", None),
+    "filter_cmp": ("select o_orderkey, o_totalprice from orders where o_totalprice >= 150000.5 and o_orderdate < cast('1998-01-01' as DATE) and o_orderstatus != 'F'", None),
     "filter_bool": ("select p_partkey from part where p_size < 10 or p_size > 40 and not (p_brand = 'Brand#13')", None),
     "filter_in_between": ("select o_orderkey from orders where o_orderstatus in ('F', 'P') and o_totalprice between 1000 and 90000 and o_orderpriority not in ('1-URGENT')", None),
     "filter_like": ("select p_partkey, p_type from part where p_type like '%STEEL%' or p_name not like '%a%'", None),
@@ -31,8 +24,8 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "filter_regexp": ("select c_custkey from customer where c_name regexp '[13]$'", "select c_custkey from customer where regexp_matches(c_name, '[13]$')"),
     "filter_truthy": ("select n_nationkey from nation where n_regionkey", "select n_nationkey from nation where n_regionkey <> 0"),
     "null_safe_eq": (
-        "select c_custkey, o_orderkey from customer left join (select * from orders where o_totalprice > 300000) big on c_custkey = o_custkey where o_orderkey = null or o_orderkey != null and c_custkey < 50",
-        "select c_custkey, o_orderkey from customer left join (select * from orders where o_totalprice > 300000) big on c_custkey = o_custkey where o_orderkey is null or o_orderkey is not null and c_custkey < 50",
+        "select c_custkey, o_orderkey from customer left join (select * from orders where o_totalprice > 300000) big on c_custkey = o_custkey where o_orderkey = null or o_orderkey != null and c_acctbal < 2000",
+        "select c_custkey, o_orderkey from customer left join (select * from orders where o_totalprice > 300000) big on c_custkey = o_custkey where o_orderkey is null or o_orderkey is not null and c_acctbal < 2000",
     ),
     "null_tests": ("select c_custkey, o_orderkey is null as lone from customer left join (select * from orders where o_totalprice > 300000) as big on c_custkey = o_custkey where o_orderstatus is not null or c_acctbal > 0", None),
     "case_when": ("select o_orderkey, case when o_totalprice > 200000 then 'high' when o_totalprice > 100000 then 'middle' else 'low' end as class, case when o_orderstatus = 'F' then 1 end as done from orders", None),
@@ -147,11 +140,7 @@ def _nested(spark, sf_dir, query):
 
 def _tree(spark, sf_dir, query):
     """Nations as CSV files in a folder for each region, written where all executors reach them."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tree-")
-    root = f"{base.rstrip('/')}/nations-{uuid.uuid4().hex}"
+    root = work_folder(spark, "nations")
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").join(F.broadcast(spark.read.parquet(f"{sf_dir}/region.parquet")), F.col("n_regionkey") == F.col("r_regionkey"))
     nations.select(F.col("r_name").alias("region"), "n_nationkey", "n_name").coalesce(1).write.partitionBy("region").option("header", True).csv(root)
     ds = DataSet(spark)
@@ -175,7 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _statement
     "flatten_repeated_record": lambda spark, d: _nested(spark, d, "select * from flatten(repeated, 'info')"),
     "dir_csv_pruned": lambda spark, d: _tree(spark, d, "select region, n_nationkey, n_name from nations where region = 'ASIA' and n_nationkey > 8"),
     "dir_csv_all": lambda spark, d: _tree(spark, d, "select region, count(*) as n from nations group by region"),
-}
+} | api_queries.QUERIES
 
 SQL: dict[str, str] = {name: sql or text for name, (text, sql) in STATEMENTS.items()} | {
     "view_nested": "select n_name, n from (select c_nationkey, count(*) as n from customer where c_acctbal > 5000 group by c_nationkey) join nation on c_nationkey = n_nationkey",
@@ -189,4 +178,4 @@ SQL: dict[str, str] = {name: sql or text for name, (text, sql) in STATEMENTS.ite
     "flatten_repeated_record": "select o_orderkey, o_custkey as info_cust, o_orderpriority as info_prio from orders, (select unnest([1, 2])) where o_orderstatus <> 'P'",
     "dir_csv_pruned": "select r_name as region, n_nationkey, n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' and n_nationkey > 8",
     "dir_csv_all": "select r_name as region, count(*) as n from nation join region on n_regionkey = r_regionkey group by r_name",
-}
+} | api_queries.SQL

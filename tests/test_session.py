@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import types as T
 
-from quarrysql import DataSet, Dicts, Frames
+from quarrysql import DataSet, Dicts, Frames, replace_views
 from quarrysql.plans.binder import BindError
 from quarrysql.types import declared, struct
 
@@ -156,6 +156,30 @@ def test_strings_and_mathematics(ds):
     assert tuple(rows(ds, "select modf(2.5) as m")[0][0]) == (0.5, 2.0)
 
 
+def test_results_that_do_not_fit(ds):
+    assert rows(ds, "select comb(100, 50), lcm(4611686018427387904, 3), perm(5, 2), gamma(0), lgamma(-1)") == [(None, None, 20, None, None)]
+    assert rows(ds, "select expandtabs('a\tb'), expandtabs('ab\tc', 4), expandtabs(null)") == [("a       b", "ab  c", None)]
+
+
+def test_union_of_widths(spark, ds):
+    ds.add_source(Frames(small=spark.sql("select 1s as k, 2.5f as f"), wide=spark.sql("select 5000000000 as k, 0.25d as f")))
+    assert sorted(rows(ds, "select k, f from small union all select k, f from wide")) == [(1, 2.5), (5000000000, 0.25)]
+    assert sorted(rows(ds, "select k, f from wide union all select k, f from small")) == [(1, 2.5), (5000000000, 0.25)]
+
+
+def test_resolve_and_replace_views(ds):
+    def twice(df, column):
+        raise AssertionError
+
+    twice.resolve = lambda fn, own, df, column: df.select(df[column] * 2)
+    ds.add_function("twice", twice)
+    assert sorted(r[0] for r in ds.sql("select * from twice(plain, 'a')").collect()) == [2, 4]
+    ds.create_view("v", "select a from plain")
+    tree = replace_views(ds.query("select a from v x join staff on a = id").node, ds)
+    ds.views.clear()
+    assert sorted(r[0] for r in ds.create_view("w", tree) or ds.sql("select * from w").collect()) == [1, 2]
+
+
 def test_json(ds):
     assert rows(ds, """select '{"k": 69, "s": "t", "a": [1, 2]}' -> 'k' as a, '{"s": "t"}' -> 's' as b, '{"s": "t"}' ->> 's' as c, '[5, 6]' -> 1 as d""") == [("69", '"t"', "t", "6")]
 
