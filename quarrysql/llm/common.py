@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .files import locate
+
 #: The separators of the word pattern ``[^\x20\x09-\x0D]+``, as a regular expression.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 #: Rows of a few numbers that a partition should have.
@@ -20,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only where the session names none (tests on one machine).
+    Where the session names none, a temporary folder stands in on one machine, and a cluster is refused.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -36,6 +41,13 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one that nothing reads any more."""
+    system, folder = locate(path)
+    if system.get_file_info(folder).type == fs.FileType.Directory:
+        system.delete_dir(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a checkpoint in the shared folder: later steps don't run it again."""
     shared_dir(df.sparkSession)
@@ -61,6 +73,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, from its files; for numbers that decide memory and
+    speed only, never results."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 60 else 0
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, also where a lambda uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

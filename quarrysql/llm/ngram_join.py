@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import slices
 from .coded import coded_words, distinct
-from .common import cut, fitted, shuffle_partitions, stored
+from .common import cut, fitted, shuffle_partitions, stored, stored_bytes
 from .graph import components
 from .memory import release
 
@@ -139,11 +139,10 @@ def _answer_rows(chunks: list[int], bucket: int, answers: list[bytes], meta: byt
 
 def _deal(docs: DataFrame) -> tuple[int, int]:
     """How many partitions hashes are dealt to, ``spark.sql.shuffle.partitions`` at most and fewer for
-    little text, and how many buckets each has; by the optimizer's estimate of the table's size. The
-    numbers decide memory and speed only."""
-    stored_bytes = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = max(1, min(shuffle_partitions(docs.sparkSession), stored_bytes // PART_BYTES))
-    return parts, max(4, min(256, stored_bytes // parts // BUCKET_BYTES))
+    little text, and how many buckets each has."""
+    size = stored_bytes(docs)
+    parts = max(1, min(shuffle_partitions(docs.sparkSession), size // PART_BYTES))
+    return parts, max(4, min(256, size // parts // BUCKET_BYTES))
 
 
 def _answers(exchanged: DataFrame, parts: int, splits: int, by_owner: bool) -> DataFrame:

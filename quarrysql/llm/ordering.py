@@ -6,17 +6,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, stored_bytes
+
+RANGE_BYTES = 128 << 20
 
 
 class Ranges:
     """Bounds of about equally many rows each; every bound is an id that a row has.
 
-    Only the id column is read. The driver holds one bound a partition. Null ids come first.
+    Only the id column is read. The driver holds one bound a partition. Null ids come first. There are
+    ``spark.sql.shuffle.partitions`` parts, or more if each would stand for over ``RANGE_BYTES`` of stored
+    rows: what a task keeps of its range doesn't grow with the corpus.
     """
 
     def __init__(self, df: DataFrame, key: str = "doc_id", parts: int | None = None):
-        n = parts or shuffle_partitions(df.sparkSession)
+        n = parts or max(shuffle_partitions(df.sparkSession), stored_bytes(df) // RANGE_BYTES)
         steps = [i / n for i in range(n)]
         row = df.agg(F.percentile_approx(key, steps, F.lit(min(max(10_000, 20 * n), 1_000_000))).alias("at"), F.min(key).alias("low"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
         self.nulls = row["nulls"] > 0
