@@ -62,12 +62,12 @@ THRESHOLD = Fraction(3, 4)
 #: About the most nodes and shingles of a block and queries that it gets at once, shingles and
 #: documents of a chunk, and pivots of a large group. They bound what a task holds, nothing else.
 BLOCK, BLOCK_SHINGLES, ASKING = 256, 500_000, 512
-CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 800_000, 60_000, 16
+CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 600_000, 60_000, 16
 #: Fixed value: the factor of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 _SEVERAL = 0xFFFF
 #: Bytes of stored text that a partition and a bucket of hashes stand for, and of text read at once.
-PART_BYTES, BUCKET_BYTES, SLICE = 4 << 20, 1 << 20, 4 << 20
+PART_BYTES, BUCKET_BYTES, SLICE = 4 << 20, 1 << 20, 2 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
