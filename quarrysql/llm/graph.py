@@ -55,9 +55,9 @@ def components(edges: DataFrame) -> DataFrame:
     aggregations and a join by node, with partial aggregation before the exchange and the join left to
     adaptive execution, and ends in a checkpoint.
     """
-    # The exchange of distinct() also parts the forests from Python before them: a task has one worker.
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = cut(now.mapInArrow(_forest, "u long, v long").distinct())
+    # The checkpoint also parts the forests from Python before them: a task has one worker.
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = cut(fitted(now).mapInArrow(_forest, "u long, v long").distinct())
     before = None
     while True:
         size = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())

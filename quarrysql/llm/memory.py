@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import resource
 import sys
 from collections.abc import Callable
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 
 #: About what an entry of a dict takes besides the data of its key and value.
 ENTRY = 140
+#: Resident bytes up to which a worker is left as it is.
+LEAN = 240 << 20
 _KEPT: dict[tuple[str, str], object] = {}
 
 
@@ -29,8 +32,20 @@ def of_worker(operator: str, name: str, make: Callable[[], object]):
     return found
 
 
+def _resident() -> int:
+    """Bytes of memory that this process has; unknown ones count as many."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    except OSError:
+        return LEAN + 1
+
+
 def release() -> None:
-    """Gives memory that is free inside this process back to the system."""
+    """Gives memory that is free inside this process back to the system, if it has more than a worker
+    needs to stand by."""
+    if _resident() <= LEAN:
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

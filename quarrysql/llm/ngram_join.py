@@ -61,7 +61,7 @@ N = 5
 THRESHOLD = Fraction(3, 4)
 #: About the most nodes and shingles of a block and queries that it gets at once, shingles and
 #: documents of a chunk, and pivots of a large group. They bound what a task holds, nothing else.
-BLOCK, BLOCK_SHINGLES, ASKING = 256, 500_000, 512
+BLOCK, BLOCK_SHINGLES, ASKING = 256, 500_000, 1024
 CHUNK_SHINGLES, CHUNK_DOCS, PIVOTS = 600_000, 60_000, 16
 #: Fixed value: the factor of DivideSkip's rule for the number of long lists.
 MU = 0.0085
@@ -195,7 +195,7 @@ def _frequency_class(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 64, n, np.minimum(255, 16 + 8 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
 
 
-def _gathered(answers: DataFrame, of_chunk, schema: str) -> DataFrame:
+def _gathered(answers: DataFrame, parts: int, of_chunk, schema: str) -> DataFrame:
     """``of_chunk(meta, {bucket: answer})`` of every chunk, one at a time."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def _gathered(answers: DataFrame, of_chunk, schema: str) -> DataFrame:
             yield from of_chunk(meta, held)
         release()
 
-    return answers.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(gather, schema)
+    return answers.repartitionById(parts, F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")).sortWithinPartitions("chunk", "bucket").mapInArrow(gather, schema)
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -276,7 +276,7 @@ def describe(docs: DataFrame, set_of: SetsOf, threshold: Fraction) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(marks), pa.array(sizes), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(near)], ["doc_id", "mark", "n_shingles", "digest", "near"])
 
     answers = _answers(docs.select("doc_id", "text", "mark").mapInArrow(spread, _PACKED), parts, splits, True)
-    return _gathered(answers, of_chunk, "doc_id long, mark long, n_shingles long, digest binary, near boolean")
+    return _gathered(answers, parts, of_chunk, "doc_id long, mark long, n_shingles long, digest binary, near boolean")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, set_of: SetsOf, threshold: Fraction) -> DataFrame:
@@ -310,7 +310,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, set_of: SetsOf, threshold: Fracti
 
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     # The exchange below asks for a chunk's rows again only as packed, never from this join.
-    return _gathered(_answers(texts.mapInArrow(spread, _PACKED), parts, splits, False), of_chunk, "node long, size long, shared binary")
+    return _gathered(_answers(texts.mapInArrow(spread, _PACKED), parts, splits, False), parts, of_chunk, "node long, size long, shared binary")
 
 
 # Step 4: T-occurrence search
