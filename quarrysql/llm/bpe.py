@@ -34,7 +34,7 @@ LONGEST_KEPT, ASKED = 64, 1 << 20
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 #: Bytes that pieces with and without a space before them may take in a worker, each.
-KEPT = 32 << 20
+KEPT = 144 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -120,19 +120,22 @@ class Encoder:
 
     def _learn(self, pieces: dict[str, None], space: bool, table: dict | None) -> dict:
         """The values of distinct pieces that the cache's young generation lacks."""
-        old, lead, found = self.kept[space].old, " " if space else "", {}
-        words, plain, parted = [], [], []
-        for p in pieces:
-            if p in old:
-                found[p] = old[p]
-            elif table and lead + p in table:
-                found[p] = table[lead + p]
-            elif p.isalpha():
-                words.append(p)
-            elif len(lines := _BREAK.split(p)) > 1:
+        kept, lead, found = self.kept[space], " " if space else "", {}
+        pieces = list(pieces)
+        if kept.old:
+            aged = list(map(kept.old.get, pieces))
+            found = {p: v for p, v in zip(pieces, aged) if v is not None}
+            pieces = [p for p, v in zip(pieces, aged) if v is None]
+        if table:
+            known = {p: table[lead + p] for p in pieces if lead + p in table}
+            found |= known
+            pieces = [p for p in pieces if p not in known]
+        words, plain, parted = [p for p in pieces if p.isalpha()], [], []
+        for p in [p for p in pieces if not p.isalpha()]:
+            if "\n" in p and len(lines := _BREAK.split(p)) > 1:
                 parted.append((p, lines, "\n"))
             elif p[-1:] in (".", ",") and p[-2:-1].isalpha():
-                parted.append((p, [p[:-1], p[-1]], ""))
+                parted.append((p, (p[:-1], p[-1]), ""))
             else:
                 plain.append(p)
         found.update(zip(words, self._ask_words(words, space)))
@@ -143,16 +146,18 @@ class Encoder:
             rests = self.lookup([x for _, parts, _ in parted for x in parts[1:]], False, table)
             mark, at = self.lookup(["\n"], False, table)[0], 0
             for (p, parts, between), head in zip(parted, heads):
+                if len(parts) == 2:
+                    found[p] = head + mark + rests[at] if between else head + rests[at]
+                    at += 1
+                    continue
                 own = rests[at : at + len(parts) - 1]
                 at += len(own)
                 if self.count:
                     found[p] = head + sum(own) + (mark * len(own) if between else 0)
                 else:
                     found[p] = (mark if between else b"").join([head, *own])
-        kept = self.kept[space]
-        for p, v in found.items():
-            if len(p) <= LONGEST_KEPT:
-                kept.put(p, v, len(p) + (0 if self.count else len(v)))
+        short = found if max(map(len, found), default=0) <= LONGEST_KEPT else {p: v for p, v in found.items() if len(p) <= LONGEST_KEPT}
+        kept.put_all(short, sum(map(len, short)) + (0 if self.count else sum(map(len, short.values()))))
         return found
 
     def _age(self) -> None:

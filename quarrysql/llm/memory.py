@@ -66,6 +66,11 @@ class Cache(dict):
         self.size += size + ENTRY
         return value
 
+    def put_all(self, found: dict, size: int) -> None:
+        """Keeps values of so many bytes together, their keys' included."""
+        self.update(found)
+        self.size += size + ENTRY * len(found)
+
     def age(self) -> None:
         if self.size >= self.most:
             self.old, self.size = dict(self), 0
