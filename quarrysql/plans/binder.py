@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import scalar
+from ..functions import aggregates, scalar
 from ..types import DECLARED, cast_type, type_name
 from . import nodes as n
 
@@ -186,7 +186,10 @@ class Binder:
             keys[expr] = fresh()
             df = df.withColumn(keys[expr], self.column(expr, source))
         source = replace(source, df=df)
-        scope = Group(self, source, keys, bool(node.group))
+        sorted_by = [o.key if isinstance(o.key, n.Name) else self.inline(o.key, named) for o in node.order]
+        source, folded = self.folded((*items, *(() if node.having is None else (self.inline(node.having, named),)), *sorted_by), source, list(keys.values()))
+        df = source.df
+        scope = Group(self, source, keys, bool(node.group), folded)
         slots = tuple(Slot(*self.naming(i, source), fresh()) for i in items)
         columns = [scope.column(i).alias(s.column) for i, s in zip(items, slots)]
         having, sorts, hidden = None, [], []
@@ -212,6 +215,18 @@ class Binder:
             out = out.orderBy(*sorts)
         return Bound(out.select(*[s.column for s in slots]), slots)
 
+    def folded(self, exprs: tuple[n.Node, ...], source: Bound, keys: list[str]) -> tuple[Bound, dict[str, Column]]:
+        """The source with a column of what users' folds in ``exprs`` give, and each fold's result as an
+        aggregate over it. A stream can't be sorted: its folds stay aggregates over the arguments."""
+        calls: dict[str, tuple[n.Call, aggregates.Fold]] = {}  # by all of the text: 1 and 1.0 are equal nodes
+        if not source.df.isStreaming:
+            walk(exprs, lambda x: calls.update({repr(x): (x, fold)}) or x if isinstance(x, n.Call) and not x.distinct and isinstance(fold := self.catalog.aggregate(x.name), aggregates.Fold) else x)
+        if not calls:
+            return source, {}
+        args = [(fold, [self.column(a, source) for a in call.args if not isinstance(a, n.Star)]) for call, fold in calls.values()]
+        df, results = aggregates.stream(source.df, keys, args, fresh())
+        return replace(source, df=df), dict(zip(calls, results))
+
     def inline(self, expr: n.Node, named: dict[str, n.Node]) -> n.Node:
         """``expr`` with the names of select items replaced by what they stand for."""
         return walk(expr, lambda x: named[x.path] if isinstance(x, n.Name) and x.path in named else x)
@@ -299,8 +314,8 @@ def walk(node, change: Callable):
 class Group:
     """The scope of a grouped select: keys, aggregates, and any row's value of the rest."""
 
-    def __init__(self, binder: Binder, source: Bound, keys: dict[n.Node, str], explicit: bool):
-        self.binder, self.source, self.keys, self.explicit = binder, source, keys, explicit
+    def __init__(self, binder: Binder, source: Bound, keys: dict[n.Node, str], explicit: bool, folded: dict[str, Column]):
+        self.binder, self.source, self.keys, self.explicit, self.folded = binder, source, keys, explicit, folded
 
     def column(self, node: n.Node) -> Column:
         return Expression(self.binder, self).column(node)
@@ -428,6 +443,8 @@ class Expression:
         if build:
             if not self.group:
                 raise BindError(f"{node.name}() is an aggregate and can't stand here")
+            if repr(node) in self.group.folded:
+                return self.group.folded[repr(node)]
             inner = Expression(self.binder, self.bound)
             args = [inner.column(a) for a in node.args if not isinstance(a, n.Star)]
             if node.distinct:

@@ -165,7 +165,7 @@ class DataSet:
 
     def add_aggregate(self, name: str, function: Callable, returns, initial=None, finalize: Callable | None = None) -> None:
         kind = returns if isinstance(returns, T.DataType) else T._parse_datatype_string(returns) if isinstance(returns, str) else spark_type(returns)
-        self.folds[name] = aggregates.Fold(function, kind, initial, finalize).column
+        self.folds[name] = aggregates.Fold(function, kind, initial, finalize)
 
     def aggregate(self, returns=None, initial=None, name: str | None = None, finalize: Callable | None = None):
         """Of a name that is given, what builds its aggregate; else a decorator that registers one."""

@@ -147,6 +147,59 @@ def test_functions(ds):
         ds.sql("select nix(1)")
 
 
+def resident(most, x):
+    """The most MB that the process which folds held at its first row and every 50,000 rows."""
+    if x % 50_000:
+        return most
+    with open("/proc/self/statm") as f:
+        return max(most, int(f.read().split()[1]) * 4096 // 2**20)
+
+
+def test_folds_take_large_groups_row_by_row(spark, ds):
+    ds.add_source(Frames(many=spark.range(2_000_000)))
+    ds.add_aggregate("resident", resident, "bigint", 0)
+    ds.add_aggregate("total", lambda s, x: s + x, "bigint", 0)
+    got = rows(ds, "select id < 0 as k, total(id) as t, count() as n, resident(id) as mb from many group by k")
+    assert got[0][:3] == (False, 1_999_999_000_000, 2_000_000) and len(got) == 1
+    assert got[0][3] < 500
+
+
+def test_folds_over_batches_and_odd_keys(spark, ds):
+    table = spark.range(30_000).selectExpr(
+        "id", "id % 3 as g", "if(id % 5 = 0, null, id) as x", "if(id < 25000, 0, id) as uneven", "map('b', id % 2, 'a', 1) as m", "named_struct('p', array(map(id % 2, 1))) as s",
+        "case id % 4 when 0 then double('NaN') when 1 then -0.0d when 2 then 0.0d end as d", "collate(if(id % 2 = 0, 'a', 'A'), 'UTF8_LCASE') as c", "timestamp_seconds(id) as at", "binary(string(id % 2)) as b",
+    )
+    ds.add_source(Frames(t=table, none=table.limit(0)))
+    ds.add_aggregate("total", lambda s, x: s + (x or 0), "bigint", 0)
+    ds.add_aggregate("tally", lambda s: [s[0] + 1], "bigint", lambda: [0], lambda s: s[0])
+    ds.add_aggregate("best", lambda s, x, y: max(s, (y, x or 0)), "struct<y bigint, x bigint>", (-1, 0))
+    ds.add_aggregate("last", lambda s, *args: repr(args), "string")
+    for key in ("g", "x", "uneven", "m", "s", "d", "c", "null"):
+        got = rows(ds, f"select {key} as k, tally() as n, count() as m, total(x) as t, sum(x) as u, best(x, id) as y, max(id) as z from t group by k")
+        assert all(n == m and t == (u or 0) and y[0] == z for _, n, m, t, u, y, z in got)
+        assert sum(n for _, n, *_ in got) == 30_000
+        assert len(got) == {"g": 3, "x": 24_001, "uneven": 5_001, "m": 2, "s": 2, "d": 3, "c": 1, "null": 1}[key]
+    assert rows(ds, "select tally() + 1 as n, total(x) from t") == [(30_001, 360_000_000)]
+    assert rows(ds, "select tally(), total(x), count() as n from none") == [(0, 0, 0)] and rows(ds, "select g, tally() from none group by g") == []
+    assert rows(ds, "select g from t group by g having total(id) > 149990000 order by total(id) desc") == [(2,), (1,)]
+    assert rows(ds, "select last(1, null) as a, last(1.0, null) as b from t") == [("(1, None)", "(1.0, None)")]
+    assert rows(ds, "select last(m, s, d, at, b) as a from t where id = 29996") == [("({'b': 0, 'a': 1}, Row(p=[{0: 1}]), nan, datetime.datetime(1970, 1, 1, 8, 19, 56), b'0')",)]
+    with pytest.raises(BindError):
+        ds.sql("select total(tally()) from t")
+
+
+def test_folds_in_streams(spark, ds, tmp_path):
+    from quarrysql.streaming import Streams
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    ds.add_source(Streams(flow=dict(format="parquet", path=str(tmp_path / "in"), schema="id long")))
+    ds.add_aggregate("total", lambda s, x: s + x, "bigint", 0)
+    q = ds.sql("select id > 4 as k, total(id) as t, count() as n from flow group by k").writeStream.format("memory").outputMode("complete").queryName("totals").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("totals").collect())) == [(False, 10, 5), (True, 35, 5)]
+
+
 def test_strings_and_mathematics(ds):
     got = rows(ds, "select capwords('  hello  wORLD '), length('abc'), find('abc', 'z'), rfind('abab', 'b'), zfill('-7', 4), swapcase('aB'), center('a', 4)")
     assert got == [("Hello World", 3, -1, 3, "-007", "Ab", " a  ")]
