@@ -11,6 +11,10 @@ text is that of its chunks, each a run of spaces and what follows up to the next
 ids of chunks in a bounded cache. Likewise a line break that no piece holds is a chunk of its own.
 Scores are added as 64-bit numbers within a chunk.
 
+The chunks of many texts are cut by numpy and numbered by Arrow; Python looks up each distinct one, and
+those not kept are segmented together, a step of the Viterbi search for all of them at once. Long ones
+go alone. Arrow puts the ids of the texts, and the bytes that they are decoded to, together.
+
 Models without normalisation (``identity``) are supported; others are refused.
 
 Defined cases: null text is empty; empty text has no ids; a marker character in a text reads back as
@@ -23,7 +27,6 @@ whatever their names; ``ids`` takes the place of a column of that name.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from array import array
@@ -32,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import slices
@@ -44,10 +48,11 @@ PENALTY = 10.0
 LONGEST_KEPT = 48
 #: Bytes of a chunk from which on its tables are packed.
 LONG = 1 << 14
+#: Bytes of chunks that are segmented together: each up to, and all about.
+TOGETHER, STEP = 128, 1 << 19
 _LOW = float("-inf")
 #: Bytes that the ids of chunks may take in a worker.
 KEPT = 64 << 20
-_CHUNK, _CHUNK_OF_LINE = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -151,6 +156,12 @@ class Trie:
         self.base, self.check, self.value = (np.array((x + [f] * 257)[:last], np.int32) for x, f in ((base, 0), (check, -1), (value, -1)))
 
 
+def _inside(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings in a row, and where each begins and ends among them."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 class Processor:
     """Encodes and decodes with a model. Only arrays and lists: it can be sent to workers."""
 
@@ -163,12 +174,16 @@ class Processor:
         # A user's own piece always wins over what it is made of.
         self.scores = [len(p) * top - 0.1 if k == USER else s for p, s, k in zip(model.pieces, model.scores, model.kinds)]
         self.parts = not any(MARKER in model.pieces[i].lstrip(MARKER) for i in usable)
-        self.chunk = _CHUNK if any("\n" in model.pieces[i] for i in usable) else _CHUNK_OF_LINE
-        trie = Trie({model.pieces[i].encode(): i for i in usable})
+        self.lines = not any("\n" in model.pieces[i] for i in usable)
+        self.trie = trie = Trie({model.pieces[i].encode(): i for i in usable})
         self.base, self.check, self.value = trie.base.tolist(), trie.check.tolist(), trie.value.tolist()
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
-        self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]
+        self.raw = pa.array(raw, pa.large_binary())
+        # What an edge costs by its piece, -1 (the last) for an unknown character.
+        self.costs = np.array([*self.scores, self.unknown_score])
+        self.of_byte = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
         self.kept = Cache(KEPT)
 
     def viterbi(self, text: str) -> list[int]:
@@ -215,37 +230,156 @@ class Processor:
             end = begin
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk with its spaces, as 32-bit integers."""
-        found = self.kept.get(chunk)
-        if found is None:
-            found = self.kept.old.get(chunk)
-            if found is None:
-                found = np.array(self.viterbi(chunk.replace(" ", MARKER)), np.int32).tobytes()
-            if len(chunk) <= LONGEST_KEPT:
-                self.kept.put(chunk, found, len(chunk) + len(found))
+    def viterbi_together(self, chunks: pa.Array) -> list[bytes]:
+        """What ``viterbi`` gives for each of many short strings, as 32-bit integers."""
+        data, offsets = _inside(chunks)
+        n, many = len(data), len(chunks)
+        sizes = np.diff(offsets)
+        owner = np.repeat(np.arange(many, dtype=np.int32), sizes)
+        depth = np.arange(n, dtype=np.int32) - offsets[:-1][owner]
+        # A string of k bytes has k + 1 nodes: one before each byte, and its end.
+        node = np.arange(n, dtype=np.int32) + owner
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        # All edges, by number of bytes.
+        first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
+        lead = data[first]
+        step = np.ones(len(first), np.int32) + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        width = np.zeros(n, np.int32)
+        width[first] = step
+        single = np.zeros(n, bool)
+        begin, left, state, taken = first, offsets[1:][owner[first]] - first, np.zeros(len(first), np.int32), 0
+        begins, ends, pieces = [], [], []
+        while len(begin):
+            to = base[state] + data[begin + taken]
+            on = np.flatnonzero(check[to] == state)
+            begin, left, state = begin[on], left[on], to[on]
+            taken += 1
+            piece = value[state]
+            hit = np.flatnonzero(piece >= 0)
+            at = begin[hit]
+            begins.append(at)
+            ends.append(node[at] + taken)
+            pieces.append(piece[hit])
+            single[at[width[at] == taken]] = True
+            on = np.flatnonzero(left > taken)
+            if len(on) < len(begin):
+                begin, left, state = begin[on], left[on], state[on]
+        alone = ~single[first]
+        at = first[alone]
+        begin = np.concatenate([*begins, at])
+        end = np.concatenate([*ends, node[at] + step[alone]])
+        piece = np.concatenate([*pieces, np.full(len(at), -1, np.int32)])
+        # In the order of their beginnings. Those of one beginning have different ends.
+        where = depth[begin].astype(np.uint8)
+        order = np.argsort(where, kind="stable")
+        begin, end, piece = begin[order], end[order], piece[order]
+        before, cost = node[begin], self.costs[piece]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=1))]).tolist()
+        best, via = np.full(n + many, _LOW), np.zeros(n + many, np.int32)
+        best[offsets[:-1] + np.arange(many)] = 0.0
+        for a, b in zip(bounds, bounds[1:]):
+            to = end[a:b]
+            total = best[before[a:b]] + cost[a:b]
+            better = np.flatnonzero(total > best[to])
+            to = to[better]
+            best[to] = total[better]
+            via[to] = better + a
+        # Back from all ends; an id stands at the first byte of its piece.
+        ids = np.full(n, -1, np.int32)
+        at = (offsets[1:] + np.arange(many))[sizes > 0]
+        while len(at):
+            edge = via[at]
+            start, piece_there = begin[edge], piece[edge]
+            ids[start] = piece_there
+            odd = start[piece_there < 0]
+            if len(odd) and not self.bytes:
+                ids[odd] = self.unknown
+            elif len(odd):
+                for k in range(4):
+                    more = odd[width[odd] > k] + k
+                    ids[more] = self.of_byte[data[more]]
+            at = before[edge][depth[start] > 0]
+        real = ids >= 0
+        raw = ids[real].tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(real)])[offsets]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of distinct chunks with their spaces, as 32-bit integers."""
+        chunks = pc.replace_substring(chunks, " ", MARKER)
+        sizes = pc.binary_length(chunks).to_numpy()
+        found: list = [None] * len(chunks)
+        for i in np.flatnonzero(sizes > TOGETHER).tolist():
+            found[i] = np.array(self.viterbi(chunks[i].as_py()), np.int32).tobytes()
+        # By size, so that those of one step take about as many turns.
+        short = np.argsort(sizes, kind="stable")[: int((sizes <= TOGETHER).sum())]
+        upto = np.cumsum(sizes[short], dtype=np.int64)
+        at = 0
+        while at < len(short):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
+            for i, ids in zip(short[at:to].tolist(), self.viterbi_together(chunks.take(pa.array(short[at:to])))):
+                found[i] = ids
+            at = to
         return found
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        text = text.replace(MARKER, " ")
+    def _lookup(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of distinct chunks, kept ones or new."""
+        kept, keys = self.kept, chunks.to_pylist()
+        found = list(map(kept.get, keys))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        for i in lacking:
+            found[i] = kept.old.get(keys[i])
+        new = [i for i in lacking if found[i] is None]
+        if new:
+            for i, x in zip(new, self._learn(chunks.take(pa.array(new, pa.int64())))):
+                found[i] = x
+        own = {keys[i]: found[i] for i in lacking if len(keys[i]) <= LONGEST_KEPT}
+        kept.put_all(own, sum(map(len, own)) + sum(map(len, own.values())))
+        return found
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and end among them."""
+        texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.string()), MARKER, " ")
         if self.prefix:
-            text = " " + text
+            texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
         if not self.parts:
-            return np.array(self.viterbi(text.replace(" ", MARKER)), np.int32)
-        chunks = self.chunk.findall(text)
-        known = self.kept.get
-        found = [x if x is not None else self._chunk(c) for c, x in zip(chunks, map(known, chunks))]
+            found = [np.array(self.viterbi(t.replace(" ", MARKER)), np.int32) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum([0, *map(len, found)])
+        data, offsets = _inside(texts)
+        space = data == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        if self.lines:
+            line = data == 10
+            begins |= line
+            begins[1:] |= line[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        cuts = np.flatnonzero(begins).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, np.int32(len(data)))), pa.py_buffer(data)).dictionary_encode()
+        ids = pa.array(self._lookup(chunks.dictionary), pa.large_binary()).take(chunks.indices)
         self.kept.age()
-        return np.frombuffer(b"".join(found), np.int32)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(cuts) + 1] if len(cuts) else np.zeros(1, np.int64)
+        return np.frombuffer(ids.buffers()[2] or b"", np.int32)[: ends[-1] // 4], ends[np.searchsorted(cuts, offsets)] // 4
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids in a row."""
+        found = self.raw.take(pa.array(ids, pa.int32()))
+        data = memoryview(found.buffers()[2] or b"")
+        cuts = np.frombuffer(found.buffers()[1], np.int64)[offsets].tolist() if len(ids) else [0] * len(offsets)
+        mark, out = MARKER.encode(), []
+        for a, b in zip(cuts, cuts[1:]):
+            own = bytes(data[a:b])
+            # A marker's first byte begins a character wherever it stands.
+            own = (own[len(mark) :] if self.prefix and own.startswith(mark) else own).replace(mark, b" ")
+            out.append(own.decode("utf-8", "replace"))
+        return out
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
-        if self.prefix and text.startswith(MARKER):
-            text = text[1:]
-        return text.replace(MARKER, " ")
+        ids = np.asarray(ids, np.int32)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
 
 
 def processor(path: str) -> Processor:
@@ -263,9 +397,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
         own = processor(model)
         for batch in batches:
             for some in slices(batch, "_text", 4 << 20):
-                found = [own.encode(t) for t in some.column("_text").to_pylist()]
-                offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                found, offsets = own.encode_all(some.column("_text"))
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], ids], [*some.schema.names[:-1], "ids"])
         release()
 
@@ -294,13 +427,15 @@ def query(docs: DataFrame, model: str) -> DataFrame:
         is_byte = np.array([k == BYTE for k in own.kinds])
         for batch in batches:
             for some in slices(batch, "text", 4 << 20):
-                rows = []
-                for t in some.column("text").to_pylist():
-                    ids = own.encode(t)
-                    back = own.decode(ids)
-                    rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
+                ids, offsets = own.encode_all(some.column("text"))
+                decoded = own.decode_all(ids, offsets)
+                bytes_before = np.concatenate([[0], np.cumsum(is_byte[ids], dtype=np.int64)])[offsets]
+                crc = [zlib.crc32(ids[a:b].astype("<u4", copy=False)) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                sha = [hashlib.sha256(back.encode()).hexdigest() for back in decoded]
+                same = [back == (t or "") for back, t in zip(decoded, some.column("text").to_pylist())]
+                columns = (np.diff(offsets), np.diff(bytes_before), crc, sha, same)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], ["doc_id", "n_pieces", "n_bytes_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds))], ["doc_id", "n_pieces", "n_bytes_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_pieces long, n_bytes_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

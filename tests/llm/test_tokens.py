@@ -146,6 +146,32 @@ def test_small_unigram_model():
     assert own.encode("c").tolist() == [1, 0]
 
 
+def test_new_chunks_are_segmented_together(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    parts = ["a", "ab", "word", "ntion", "les", " ", "  ", "\n", ".", "▁", "é", "日本", "🙂", "\t", "\x00", "b" * 40]
+    texts = [None, "", " ", "\n", " \n ", *("".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(1500)), "x" * 400]
+    letters = ["▁", "▁a", "a", "b", "ab", "é", "▁▁"]
+    small = lambda more: pieces.Processor(pieces.Model(["<unk>", *letters, *more], [0.0, -2.0, -2.5, -2.0, -2.0, -4.0, -1.0, -4.0, *[-3.0] * len(more)], [pieces.UNKNOWN, *[pieces.NORMAL] * len(letters), *[pieces.NORMAL] * len(more)]))
+    for own in (pieces.Processor(pieces.Model.load(tokenizer("piece_bpe_32k.model"))), small([]), small(["b\nb"]), small(["b▁b"])):
+        one = own.viterbi
+        want = [one((" " * own.prefix + t.replace("▁", " ")).replace(" ", "▁")) if t else [] for t in texts]
+        alone = []
+        monkeypatch.setattr(own, "viterbi", lambda text: alone.append(text) or one(text), raising=False)
+        ids, offsets = own.encode_all(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+        if own.parts:
+            # Only long chunks are searched one by one, however many new ones there are.
+            assert all(len(t.encode()) > pieces.TOGETHER for t in alone)
+        if own.bytes:
+            assert own.decode_all(ids, offsets) == [(t or "").replace("▁", " ") for t in texts]
+        again = own.encode_all(pa.array(texts[::-1]))
+        assert [again[0][a:b].tolist() for a, b in zip(again[1], again[1][1:])] == want[::-1]
+
+
 def test_long_stretches_of_text():
     own = pieces.processor(tokenizer("piece_bpe_32k.model"))
     for t in ("日本語テキスト" * 4000, "x" * 40_000, "anton\n" * 9000, "\U0001f642é" * 6000):
