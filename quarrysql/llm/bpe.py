@@ -1,19 +1,17 @@
 """Byte-level BPE through the tokenizers library, with per-worker caches of pieces.
 
-A text is cut at its single spaces into pieces, each with the space before it. The splitting pattern
-of byte-level BPE never joins what stands on both sides of such a cut, so a piece has the same ids
-alone as in its text and is encoded once a worker. Runs of white space belong together, so texts that
-have any are cut at the other spaces only; texts with special strings go through the library whole.
+A text is cut into pieces at places where the splitting pattern of byte-level BPE parts it whatever
+stands around them (see ``cut``), so a piece has the same ids alone as in its text and is encoded once a
+worker. Texts with special strings go through the library whole.
 
-The pieces of a batch are cut and numbered by Arrow; Python looks up each distinct one, and numpy
-puts the ids of the texts together.
+The pieces of a batch are cut by numpy and numbered by Arrow; Python looks up each distinct one, and
+Arrow puts the ids of the texts together.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -23,18 +21,29 @@ import pyarrow.compute as pc
 
 from .memory import Cache, of_worker
 
-#: White space, then a space, then white space or the end.
-_RUN = re.compile(r"\s (?:\s|$)")
-#: A line break that the splitting pattern always parts from its neighbours, and such a space.
-_BREAK, _SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 #: Longer pieces are encoded each time; so many bytes of text are given to the library at once.
 LONGEST_KEPT, ASKED = 64, 1 << 20
 #: The letters by which byte-level BPE writes bytes: printable ones stand for themselves, the others,
 #: in order, for the letters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
-#: Bytes that pieces with and without a space before them may take in a worker, each.
-KEPT = 144 << 20
+#: Bytes that the pieces may take in a worker.
+KEPT = 224 << 20
+
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which of the 256 bytes lie in the ranges, both ends included."""
+    return np.array([any(a <= b <= z for a, z in ranges) for b in range(256)])
+
+
+#: Of bytes: ASCII white space, those of characters that aren't (but for ``_DOUBTFUL``), ASCII letters and
+#: punctuation; bytes that lead two-byte letters, or characters that may be white space.
+_WHITE, _SOLID = _bytes((9, 13), (32, 32)), _bytes((33, 126), (128, 255))
+_LETTER, _PUNCTUATION = _bytes((65, 90), (97, 122)), _bytes((33, 47), (58, 64), (91, 96), (123, 126))
+_LETTER_LEAD, _DOUBT_LEAD = _bytes((0xC3, 0xC5), (0xD0, 0xD1)), _bytes((0xC2, 0xC2), (0xE1, 0xE3))
+#: First bytes, to the last that tells, of characters that are or may count as white space.
+_DOUBTFUL = [*(bytes([0xC2, b]) for b in range(0x80, 0xA1)), b"\xe1\x9a\x80", b"\xe1\xa0\x8e", *(bytes([0xE2, 0x80, b]) for b in (*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe2\x81\xa0", b"\xe3\x80\x80"]
+_DOUBT = {int.from_bytes(x.ljust(3, b"\0"), "big") for x in _DOUBTFUL}
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -47,13 +56,58 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator
         at = to
 
 
-class Encoder:
-    """The ids of texts, or with ``count`` their number.
+def inside(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings in a row, and where each begins and ends among them."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def strings(data: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The strings that begin at the marked bytes, and where in ``data``."""
+    cuts = np.flatnonzero(begins).astype(np.int32)
+    return pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, np.int32(len(data)))), pa.py_buffer(data)), cuts
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts in a row, and where each text's begin and end among them.
+
+    The splitting pattern takes one space with what follows it, and of more white space all but the last;
+    it never joins a letter with a later character that is none. So it parts, whatever else is there,
 
-    Before the library is asked for a piece, it is parted where the splitting pattern does so in any
-    case: at all line breaks between two other characters, in one pass, and between a letter and a full
-    stop or comma at the end.
+    * before white space after another character, and before the last of white space before another;
+    * after the last of white space that isn't a space;
+    * between a letter and punctuation.
+
+    Cuts are made only where bytes show one of these without doubt.
     """
+    data, offsets = inside(texts)
+    n = len(data)
+    white, solid = _WHITE[data], _SOLID[data]
+    leads = np.flatnonzero(_DOUBT_LEAD[data])
+    if len(leads):
+        second, third = data[np.minimum(leads + 1, n - 1)], data[np.minimum(leads + 2, n - 1)]
+        wide = data[leads] >= 0xE0
+        code = (data[leads].astype(np.int32) << 16) | (second.astype(np.int32) << 8) | np.where(wide, third, 0)
+        doubtful = np.isin(code, list(_DOUBT))
+        for k in range(3):
+            solid[(leads + k)[doubtful & (wide | (k < 2))]] = False
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begins = np.zeros(n, bool)
+    if n > 1:
+        begins[:-1] = white[:-1] & solid[1:]
+        begins[first[1:] - 1] = False  # what follows is another text
+        begins[1:] |= white[1:] & solid[:-1]
+        begins[1:] |= solid[1:] & white[:-1] & (data[:-1] != 32)
+        letter = _LETTER[data]
+        letter[1:] |= _LETTER_LEAD[data[:-1]] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        begins[1:] |= _PUNCTUATION[data[1:]] & letter[:-1]
+    begins[first] = True
+    pieces, cuts = strings(data, begins)
+    return pieces, np.searchsorted(cuts, offsets)
+
+
+class Encoder:
+    """The ids of texts, or with ``count`` their number."""
 
     def __init__(self, path: str, count: bool = False, dtype: str = "<u4", most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,25 +117,10 @@ class Encoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         form = json.loads(self.lib.to_str())
         before = form["pre_tokenizer"] or {}
-        # Only of this form is it known that single spaces part pieces.
+        # Only of this form is it known what parts pieces.
         self.parts = not form["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not form["truncation"] and not form["padding"]
         self.count, self.dtype = count, np.dtype(dtype)
-        self.kept = {space: Cache(most) for space in (False, True)}  # by whether one stands before
-
-    def in_pieces(self, text: str) -> bool:
-        return self.parts and not any(s in text for s in self.special)
-
-    def _with_runs(self, texts: list[str], table: dict | None) -> list:
-        """The values of texts that have runs of white space: they are cut at the other spaces only."""
-        pieces = [_SPACE.split(t) for t in texts]
-        heads = self.lookup([p[0] for p in pieces], False, table)
-        rests = self.lookup([x for p in pieces for x in p[1:]], True, table)
-        out, at = [], 0
-        for p, head in zip(pieces, heads):
-            own = rests[at : at + len(p) - 1]
-            at += len(own)
-            out.append(head + sum(own) if self.count else b"".join([head, *own]))
-        return out
+        self.kept = Cache(most)
 
     def ask(self, texts: list[str]) -> list:
         """The library's answers: numbers of ids, or ids as bytes."""
@@ -103,118 +142,72 @@ class Encoder:
         ends = [self.dtype.itemsize * n for n in accumulate(sizes, initial=0)]
         return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _ask_words(self, words: list[str], space: bool) -> list:
-        """The library's model about pieces of letters only: each is one pre-token, so the model can be
-        asked without the steps before it."""
-        tokens, lead = self.lib.model.tokenize, _BYTE_LETTERS[32] if space else ""
-        found = [tokens(lead + (w if w.isascii() else w.encode().decode("latin1").translate(_BYTE_LETTERS))) for w in words]
+    def _ask_words(self, words: list[str]) -> list:
+        """The library's model about pieces of letters only, or a space and letters: each is one pre-token,
+        so the model can be asked without the steps before it."""
+        tokens, space = self.lib.model.tokenize, _BYTE_LETTERS[32]
+        found = [tokens(w.replace(" ", space) if w.isascii() else w.encode().decode("latin1").translate(_BYTE_LETTERS)) for w in words]
         return list(map(len, found)) if self.count else self._values([[t.id for t in x] for x in found])
 
-    def lookup(self, pieces: list[str], space: bool, table: dict | None = None) -> list:
-        """The value of each piece."""
-        values = list(map(self.kept[space].get, pieces))
-        if None in values:
-            found = self._learn(dict.fromkeys(p for p, v in zip(pieces, values) if v is None), space, table)
-            values = [found[p] if v is None else v for p, v in zip(pieces, values)]
+    def lookup(self, pieces: list[str], table: dict | None = None) -> list:
+        """The value of each of distinct pieces."""
+        kept = self.kept
+        values = list(map(kept.get, pieces))
+        lacking = [i for i, v in enumerate(values) if v is None]
+        for known in (kept.old, table or {}):
+            for i in lacking if known else ():
+                if values[i] is None:
+                    values[i] = known.get(pieces[i])
+        words, plain = [], []
+        for i in lacking:
+            if values[i] is None:
+                p = pieces[i]
+                (words if (p[1:] if p[0] == " " else p).isalpha() else plain).append(i)
+        for some, ask in ((words, self._ask_words), (plain, self.ask)):
+            for i, v in zip(some, ask([pieces[i] for i in some])):
+                values[i] = v
+        new = {pieces[i]: values[i] for i in lacking if len(pieces[i]) <= LONGEST_KEPT}
+        kept.put_all(new, sum(map(len, new)) + (0 if self.count else sum(map(len, new.values()))))
         return values
 
-    def _learn(self, pieces: dict[str, None], space: bool, table: dict | None) -> dict:
-        """The values of distinct pieces that the cache's young generation lacks."""
-        kept, lead, found = self.kept[space], " " if space else "", {}
-        pieces = list(pieces)
-        if kept.old:
-            aged = list(map(kept.old.get, pieces))
-            found = {p: v for p, v in zip(pieces, aged) if v is not None}
-            pieces = [p for p, v in zip(pieces, aged) if v is None]
-        if table:
-            known = {p: table[lead + p] for p in pieces if lead + p in table}
-            found |= known
-            pieces = [p for p in pieces if p not in known]
-        words, plain, parted = [p for p in pieces if p.isalpha()], [], []
-        for p in [p for p in pieces if not p.isalpha()]:
-            if "\n" in p and len(lines := _BREAK.split(p)) > 1:
-                parted.append((p, lines, "\n"))
-            elif p[-1:] in (".", ",") and p[-2:-1].isalpha():
-                parted.append((p, (p[:-1], p[-1]), ""))
-            else:
-                plain.append(p)
-        found.update(zip(words, self._ask_words(words, space)))
-        found.update(zip(plain, self.ask([lead + p for p in plain])))
-        if parted:
-            # Parts hold no line break to cut at, so this ends at their words.
-            heads = self.lookup([parts[0] for _, parts, _ in parted], space, table)
-            rests = self.lookup([x for _, parts, _ in parted for x in parts[1:]], False, table)
-            mark, at = self.lookup(["\n"], False, table)[0], 0
-            for (p, parts, between), head in zip(parted, heads):
-                if len(parts) == 2:
-                    found[p] = head + mark + rests[at] if between else head + rests[at]
-                    at += 1
-                    continue
-                own = rests[at : at + len(parts) - 1]
-                at += len(own)
-                if self.count:
-                    found[p] = head + sum(own) + (mark * len(own) if between else 0)
-                else:
-                    found[p] = (mark if between else b"").join([head, *own])
-        short = found if max(map(len, found), default=0) <= LONGEST_KEPT else {p: v for p, v in found.items() if len(p) <= LONGEST_KEPT}
-        kept.put_all(short, sum(map(len, short)) + (0 if self.count else sum(map(len, short.values()))))
-        return found
-
-    def _age(self) -> None:
-        for kept in self.kept.values():
-            kept.age()
-
     def _numbered(self, texts: pa.Array, table: dict | None) -> tuple[np.ndarray, np.ndarray, list]:
-        """Of each piece its place in the list of values; where each text's pieces begin; the values."""
-        texts = pc.fill_null(texts, "")
-        plain = texts.to_pylist()
-        whole = {i: t for i, t in enumerate(plain) if not self.in_pieces(t)}
-        runs = {i: t for i, t in enumerate(plain) if i not in whole and _RUN.search(t)}
-        if whole or runs:
-            texts = pa.array(["" if i in whole or i in runs else t for i, t in enumerate(plain)], pa.string())
-        parts = pc.split_pattern(texts, " ")
-        start = parts.offsets.to_numpy()[:-1]
-        coded = parts.flatten().dictionary_encode()
-        number, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        used = np.ones(len(number), bool)
-        used[start] = False
-        seen = np.zeros(len(distinct), bool)
-        seen[number[used]] = True
-        inner = np.flatnonzero(seen)
-        heads = self.lookup([distinct[i] for i in number[start].tolist()], False, table)
-        for some, values in ((whole, self.ask(list(whole.values()))), (runs, self._with_runs(list(runs.values()), table))):
-            for i, v in zip(some, values):
-                heads[i] = v
-        place = np.zeros(len(distinct), np.int64)
-        place[inner] = np.arange(len(inner))
-        number = place[number]
-        number[start] = len(inner) + np.arange(len(start))
-        return number, start, self.lookup([distinct[i] for i in inner.tolist()], True, table) + heads
+        """Of each piece its place in the list of values; where each text's begin and end; the values."""
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        whole = np.full(len(texts), not self.parts)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        alone = texts.filter(pa.array(whole)).to_pylist()
+        pieces, bounds = cut(pc.if_else(pa.array(whole), "", texts) if alone else texts)
+        coded = pieces.dictionary_encode()
+        number, values = coded.indices.to_numpy(), self.lookup(coded.dictionary.to_pylist(), table)
+        self.kept.age()
+        if alone:
+            number = np.insert(number, bounds[:-1][whole], np.arange(len(values), len(values) + len(alone)))
+            bounds = bounds + np.concatenate([[0], np.cumsum(whole)])
+            values += self.ask(alone)
+        return number, bounds, values
 
     def counts(self, texts: pa.Array, table: dict | None = None) -> np.ndarray:
         """The number of ids of each text."""
         if not len(texts):
             return np.zeros(0, np.int64)
-        number, start, values = self._numbered(texts, table)
-        self._age()
-        return np.add.reduceat(np.array(values, np.int64)[number], start)
+        number, bounds, values = self._numbered(texts, table)
+        return np.diff(np.concatenate([[0], np.cumsum(np.array(values, np.int64)[number])])[bounds])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by ``end``, and how many each has."""
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        number, start, values = self._numbered(texts, None)
-        self._age()
+        number, bounds, values = self._numbered(texts, None)
         if end is not None:
-            number = np.insert(number, np.append(start[1:], len(number)), len(values))
-            start = start + np.arange(len(start))
+            number = np.insert(number, bounds[1:], len(values))
+            bounds = bounds + np.arange(len(bounds))
             values.append(np.array([end], self.dtype).tobytes())
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        at = np.cumsum(sizes) - sizes
-        pool = np.frombuffer(b"".join(values), self.dtype)
-        each = sizes[number]
-        begin = np.cumsum(each) - each
-        return pool[np.repeat(at[number] - begin, each) + np.arange(int(each.sum()))], np.add.reduceat(each, start)
+        if not len(number):
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        found = pa.array(values, pa.large_binary()).take(pa.array(number))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[bounds] // self.dtype.itemsize
+        return np.frombuffer(found.buffers()[2] or b"", self.dtype)[: ends[-1]], np.diff(ends)
 
 
 def encoder(path: str, count: bool = False, dtype: str = "<u4") -> Encoder:

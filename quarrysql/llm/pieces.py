@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import slices
+from .bpe import inside, slices, strings
 from .memory import Cache, of_worker, release
 
 MARKER = "▁"
@@ -156,12 +156,6 @@ class Trie:
         self.base, self.check, self.value = (np.array((x + [f] * 257)[:last], np.int32) for x, f in ((base, 0), (check, -1), (value, -1)))
 
 
-def _inside(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of strings in a row, and where each begins and ends among them."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 class Processor:
     """Encodes and decodes with a model. Only arrays and lists: it can be sent to workers."""
 
@@ -232,7 +226,7 @@ class Processor:
 
     def viterbi_together(self, chunks: pa.Array) -> list[bytes]:
         """What ``viterbi`` gives for each of many short strings, as 32-bit integers."""
-        data, offsets = _inside(chunks)
+        data, offsets = inside(chunks)
         n, many = len(data), len(chunks)
         sizes = np.diff(offsets)
         owner = np.repeat(np.arange(many, dtype=np.int32), sizes)
@@ -345,7 +339,7 @@ class Processor:
         if not self.parts:
             found = [np.array(self.viterbi(t.replace(" ", MARKER)), np.int32) for t in texts.to_pylist()]
             return np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum([0, *map(len, found)])
-        data, offsets = _inside(texts)
+        data, offsets = inside(texts)
         space = data == 32
         begins = space.copy()
         begins[1:] &= ~space[:-1]
@@ -354,8 +348,8 @@ class Processor:
             begins |= line
             begins[1:] |= line[:-1]
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
-        cuts = np.flatnonzero(begins).astype(np.int32)
-        chunks = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, np.int32(len(data)))), pa.py_buffer(data)).dictionary_encode()
+        chunks, cuts = strings(data, begins)
+        chunks = chunks.dictionary_encode()
         ids = pa.array(self._lookup(chunks.dictionary), pa.large_binary()).take(chunks.indices)
         self.kept.age()
         ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(cuts) + 1] if len(cuts) else np.zeros(1, np.int64)

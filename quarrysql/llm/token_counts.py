@@ -6,7 +6,7 @@ is encoded by the library and kept in a bounded cache of the worker. No piece is
 counted; the only rows exchanged are each task's heavy hitters (at most 1/``SHARE`` of them), from
 which the table is made. The table decides how fast a count is, never what it is.
 
-Pieces are what stands between single spaces, a whole number of the library's own pre-tokens.
+Pieces are what ``bpe.cut`` makes, each a whole number of the library's own pre-tokens.
 ``.model`` files go through sentencepiece, whole texts at a time and without a table.
 
 Defined cases: null text is empty and has no tokens; repeated rows are counted one by one; very long
@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import encoder, slices
+from .bpe import cut, encoder, slices
 from .common import stored
 from .memory import of_worker
 
@@ -45,17 +45,15 @@ def heavy(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
         width = round(4 / SHARE)
         for batch in batches:
             for some in slices(batch, text):
-                parts = pc.split_pattern(pc.fill_null(some.column(0), ""), " ")
-                inner = np.ones(parts.offsets[-1].as_py(), bool)
-                inner[parts.offsets.to_numpy()[:-1]] = False
-                found = parts.flatten().filter(pa.array(inner)).value_counts()
-                before, total = total, total + int(inner.sum())
+                parts, _ = cut(pc.fill_null(some.column(0), "").cast(pa.string()))
+                found = parts.value_counts()
+                before, total = total, total + len(parts)
                 seen.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist())))
                 if total // width > before // width:
                     pruned = total // width
                     seen = Counter({k: n for k, n in seen.items() if n > pruned})
         least = max(2, SHARE * total - pruned)
-        top = [(" " + k, n) for k, n in seen.items() if n >= least]
+        top = [(k, n) for k, n in seen.items() if n >= least]
         if top:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "count"])
 

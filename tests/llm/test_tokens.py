@@ -94,6 +94,36 @@ def test_random_texts_equal_the_library(lib):
         assert ids[a:b].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2], t
 
 
+def test_words_are_asked_once_whatever_follows(lib, monkeypatch):
+    import pyarrow as pa
+
+    own, asked = bpe.Encoder(tokenizer("byte_bpe_50k.json")), []
+    for name in ("ask", "_ask_words"):
+        one = getattr(own, name)
+        monkeypatch.setattr(own, name, lambda some, *more, one=one: asked.extend(some) or one(some, *more))
+    words = [a + b + c for a in "pqrst" for b in ("aé", "слов", "ou") for c in "klmno"]
+    texts = [f"{w}{end} {w}{end}" for w in words for end in ("", ".", ",", ";", "!", "?", ":", ")", "###", "%%%", "'s", ".\nAnd", "\nAnd")]
+    ids, sizes = own.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in lib.encode(t, add_special_tokens=False).ids]
+    assert len(asked) <= 2 * len(words) + 20
+
+
+def test_pieces_have_the_same_ids_alone(lib):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    white = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    parts = ["a", "The", " ", " ", "  ", "\n", ".", "'s", "'ll", "23", "é", "×", "÷", "ſ", "слово", "日本", "\x00", "—", "“", "ª", "²", "🙂", "א", *white]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(8000)]
+    pieces_of, bounds = bpe.cut(pa.array(texts))
+    pieces_of = pieces_of.to_pylist()
+    assert ["".join(pieces_of[a:b]) for a, b in zip(bounds, bounds[1:])] == texts
+    alone = [x.ids for x in lib.encode_batch(pieces_of, add_special_tokens=False)]
+    assert [[i for x in alone[a:b] for i in x] for a, b in zip(bounds, bounds[1:])] == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def brute(own, text):
     """The best sum of scores over all segmentations."""
     usable = {p: s for p, s, k in zip(own.pieces, own.scores, own.kinds) if k in (pieces.NORMAL, pieces.USER)}
